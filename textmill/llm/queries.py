@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import toxicity
+from textmill.llm import contamination, language, licenses, packing, tokens, toxicity
 from textmill.llm.common import held_out
 from textmill.sources.tables import read_table
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -17,5 +19,37 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(language.sample(docs.filter(~held)))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY, 2048)
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.mark(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, VOCABULARY, 2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
+    "op7_packing": op7_packing,
+    "op8_contamination": op8_contamination,
+    "op9_tokens": op9_tokens,
+    "op10_licenses": op10_licenses,
+}
 ORACLE_SQL: dict[str, str] = {}
