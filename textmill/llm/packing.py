@@ -57,7 +57,7 @@ def enumerate_patterns(hist: np.ndarray, capacity: int, most: int = 6000) -> lis
     return list(dict.fromkeys(out))[:most]
 
 
-def fit_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, sweeps: int = 60) -> np.ndarray:
+def fit_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, sweeps: int = 30) -> np.ndarray:
     """Non-negative least squares of the repeat counts against the histogram, by coordinate descent."""
     parts = [np.unique(p, return_counts=True) for p in patterns]
     norm = [float((m * m).sum()) for _, m in parts]
@@ -161,8 +161,8 @@ def pieces(docs: DataFrame, name: str, capacity: int) -> DataFrame:
         end = b"\0\0\0\0"
         for p in it:
             rows = []
-            for d, t in zip(p["doc_id"], p["text"]):
-                ids = v.ids(t) + end
+            for d, ids in zip(p["doc_id"], v.ids(p["text"].tolist())):
+                ids += end
                 n = len(ids) // 4
                 for k, s in enumerate(range(0, n, capacity)):
                     part = ids[4 * s : 4 * (s + capacity)]

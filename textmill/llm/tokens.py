@@ -1,117 +1,164 @@
 """Token counts and ids of whole texts for a word-level BPE vocabulary file.
 
-White space separates chunks that no merge crosses, so a text's ids are those of its chunks in order. Three steps, the
-cheapest first: a memo of chunks that the task has seen; the whole-token shortcut, a table proved beforehand against the
-library (every vocabulary string that alone encodes to exactly one token) for a chunk's pre-tokens; and the library itself
-for the rest. Texts with a special token's string or with control characters on which splitting differs go to the library
-whole. The memo is bounded and only saves time.
+A text's ids are those of its pre-tokens in order, and the cheapest step that can tell a pre-token's is taken: the whole-token
+shortcut, a table proved beforehand against the library (every vocabulary string that alone encodes to exactly one token); a
+memo of those that the task has merged; and merging for the rest, for many at once in numpy. Pre-tokens of more than 32 bytes
+go to the library, and so do whole texts with characters beyond U+017F, a special token's string, or control characters on
+which splitting differs. The memo is bounded and only saves time.
 
 Defined results: null and empty texts have 0 tokens; equal texts have equal counts; a text of any length is read whole.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textmill.llm.common import without
 
-#: The pre-tokenizer's pattern in word_bpe_49k.json.
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with these are left to the library: str.split() takes the former for white space, the latter may begin a special token.
-ODD = regex.compile("[\x1c-\x1f\x85]|<\\|")
-PLAIN = regex.compile("[\x21-\x7e]+")
+LATIN = [chr(c) for c in range(0x180)]
+LETTERS = "".join(c for c in LATIN if unicodedata.category(c)[0] == "L")
+NUMBERS = "".join(c for c in LATIN if unicodedata.category(c)[0] == "N")
+#: The pre-tokenizer's pattern in word_bpe_49k.json, for characters below U+0180.
+PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: Texts with these are left to the library: characters on which white space differs, and what may begin a special token.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: So are those with others; below, lower case is one letter for one and composing changes nothing.
+BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
+LONGEST = 32
+NEVER = np.int32(1 << 30)
+
+
+def is_odd(text: str) -> bool:
+    return any(x in text for x in ODD) or not text.isascii() and BEYOND.search(text) is not None
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class WordVocabulary:
-    """The file ``name`` and what is proved of it."""
+    """The file ``name``, what is proved of it, and its merges as arrays."""
 
-    def __init__(self, name: str, memo: int = 400_000):
-        self.lib = Tokenizer.from_file(public_tokenizers.path(name))
+    def __init__(self, name: str, memo: int = 800_000):
+        path = public_tokenizers.path(name)
+        self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.alone = self.prove()
         self.room = memo
-        self.counts: dict[str, int] = {}
-        self.bytes: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-
-    def prove(self) -> frozenset[str]:
-        """The lower-case ASCII strings that are one pre-token and that the library encodes alone as one token."""
-        ends = [s[:-4] for s in self.lib.get_vocab() if s.endswith("</w>") and len(s) > 4]
-        whole = [s for s in ends if PLAIN.fullmatch(s) and s == s.lower() and PRE_TOKENS.fullmatch(s)]
-        return frozenset(s for s, ids in zip(whole, self.encode(whole)) if len(ids) == 1)
-
-    def rest(self, chunks: list[str]) -> None:
-        """Count chunks that are new to the memo."""
-        if len(self.counts) + len(chunks) > self.room:
-            self.counts.clear()
-        hard: list[str] = []
-        for c in chunks:
-            if PLAIN.fullmatch(c):
-                pre = PRE_TOKENS.findall(c.lower())
-                merge = [p for p in pre if p not in self.alone]
-                self.counts[c] = len(pre) - len(merge)
-                if merge:
-                    hard.append(c)
-                    hard.extend(merge)
-                    hard.append("")
-            else:
-                self.counts[c] = 0
-                hard += [c, c, ""]
-        owner, words = "", []
-        owners = []
-        for c in hard:  # owner, its pre-tokens, an empty string
-            if not c:
-                owner = ""
-            elif not owner:
-                owner = c
-            else:
-                owners.append(owner)
-                words.append(c)
-        for o, ids in zip(owners, self.encode(words)):
-            self.counts[o] += len(ids)
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text."""
-        out = []
-        for t in texts:
-            if not t:
-                out.append(0)
-            elif ODD.search(t):
-                out.append(len(self.encode([t])[0]))
-            else:
-                words = t.split()
-                if new := [w for w in dict.fromkeys(words) if w not in self.counts]:
-                    self.rest(new)
-                    if any(w not in self.counts for w in words):  # the memo was emptied meanwhile
-                        self.rest([w for w in dict.fromkeys(words) if w not in self.counts])
-                out.append(sum(map(self.counts.__getitem__, words)))
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        vocab, self.size = model["vocab"], len(model["vocab"])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+        by = np.argsort(key)
+        self.keys, self.ranks = key[by], by.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.first = np.array([vocab[c] for c in byte_letters()] + [vocab[c + "</w>"] for c in byte_letters()], dtype=np.int32)
+        a, b = np.meshgrid(self.first, self.first, indexing="ij")
+        self.start = self.rank(a, b)
+        self.alone = self.prove(vocab)
+        self.memo = dict(self.alone)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def prove(self, vocab: dict[str, int]) -> dict[str, bytes]:
+        """The ASCII strings that are one pre-token and that the library encodes alone as one token, with that token."""
+        ends = [s[:-4] for s in vocab if s.endswith("</w>") and len(s) > 4 and s.isascii()]
+        whole = [s for s in ends if s == s.lower() and PRE_TOKENS.fullmatch(s) and not is_odd(s)]
+        return {s: ids for s, ids in zip(whole, self.encode(whole)) if len(ids) == 4}
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of merging a with b; ``NEVER`` where there is no such merge."""
+        k = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where((self.keys[at] == k) & (a >= 0) & (b >= 0), self.ranks[at], NEVER)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of at most ``LONGEST`` bytes: in each, the merge of the least rank, the leftmost first, until none is left."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(size, kind="stable")
+        for lo in range(0, len(words), 20_000):
+            some = order[lo : lo + 20_000]
+            n = size[some]
+            width = int(n.max()) + 1
+            col = np.arange(width)
+            flat = np.frombuffer(b"".join(words[i] for i in some), dtype=np.uint8)
+            b = np.zeros((len(some), width), dtype=np.int64)
+            b[col < n[:, None]] = flat
+            b[np.arange(len(some)), n - 1] += 256
+            sym = np.where(col < n[:, None], self.first[b], -1)
+            r = np.where(col[:-1] < n[:, None] - 1, self.start[b[:, :-1], b[:, 1:]], NEVER)
+            rows = np.arange(len(some))
+            done = np.full((len(some), width), -1, dtype=np.int32)
+            while len(rows):
+                j = r.argmin(1)
+                k = np.arange(len(rows))
+                best = r[k, j]
+                on = best < NEVER
+                done[rows[~on]] = sym[~on]
+                rows, sym, r, j, best = rows[on], sym[on], r[on], j[on], best[on]
+                if not len(rows):
+                    break
+                k = np.arange(len(rows))
+                new = self.merged[best]
+                after = col[:-1] > j[:, None]
+                sym[k, j] = new
+                sym[:, :-1] = np.where(after, sym[:, 1:], sym[:, :-1])
+                sym[:, -1] = -1
+                r[:, :-1] = np.where(after[:, :-1], r[:, 1:], r[:, :-1])
+                r[:, -1] = NEVER
+                r[k, j] = self.rank(new, sym[k, j + 1])
+                left = j > 0
+                r[k[left], j[left] - 1] = self.rank(sym[k[left], j[left] - 1], new[left])
+            ids = done.astype("<u4")
+            count = (done >= 0).sum(1)
+            for i, row, c in zip(some, ids, count):
+                out[i] = row[:c].tobytes()
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if ODD.search(text):
-            return np.array(self.encode([text])[0], dtype="<u4").tobytes()
-        words = text.split()
-        if new := [w for w in dict.fromkeys(words) if w not in self.bytes]:
-            if len(self.bytes) + len(new) > self.room:
-                self.bytes.clear()
-                new = list(dict.fromkeys(words))
-            self.bytes.update((w, np.array(i, dtype="<u4").tobytes()) for w, i in zip(new, self.encode(new)))
-        return b"".join(map(self.bytes.__getitem__, words))
+    def learn(self, new: list[str]) -> None:
+        """Put pre-tokens that are new into the memo."""
+        coded = [x.encode() for x in new]
+        short = [i for i, x in enumerate(coded) if len(x) <= LONGEST]
+        self.memo.update(zip([new[i] for i in short], self.merge([coded[i] for i in short])))
+        if len(short) < len(new):
+            long = [x for x, c in zip(new, coded) if len(c) > LONGEST]
+            self.memo.update(zip(long, self.encode(long)))
+
+    def ids(self, texts: list[str | None], run: int = 4_000_000) -> Iterator[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit numbers."""
+        at = 0
+        while at < len(texts):
+            end, n = at, 0
+            while end < len(texts) and n < run:
+                n += len(texts[end] or "")
+                end += 1
+            some = [None if is_odd(t or "") else PRE_TOKENS.findall((t or "").lower()) for t in texts[at:end]]
+            every = set().union(*(w for w in some if w)) if any(some) else set()
+            new = every.difference(self.memo)
+            if len(self.memo) + len(new) > self.room:
+                self.memo = dict(self.alone)
+                new = every.difference(self.memo)
+            self.learn(list(new))
+            get = self.memo.__getitem__
+            for t, w in zip(texts[at:end], some):
+                yield self.encode([t])[0] if w is None else b"".join(map(get, w))
+            at = end
 
 
 @lru_cache(maxsize=2)
@@ -125,7 +172,7 @@ def token_count(text: Column, name: str) -> Column:
     def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(name)
         for texts in it:
-            yield pd.Series(v.count(texts.tolist()), dtype="int64")
+            yield pd.Series([len(b) // 4 for b in v.ids(texts.tolist())], dtype="int64")
 
     return of(text)
 
