@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import contamination, language, licenses, packing, tokens, toxicity
+from textmill.llm import contamination, language, licenses, neardup, packing, tokens, toxicity
 from textmill.llm.common import held_out
 from textmill.sources.tables import read_table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read_table(spark, sf_dir, "documents"), neardup.Config(shingle=3, percent=85))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 5, 0)
@@ -45,6 +49,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op7_packing": op7_packing,
