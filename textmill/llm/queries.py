@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import contamination, language, licenses, neardup, packing, tokens, toxicity
+from textmill.llm import ann, contamination, language, licenses, neardup, packing, tokens, toxicity, warc
 from textmill.llm.common import held_out
 from textmill.sources.tables import read_table
 
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(ann.usable(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = held_out(F.col("doc_id"), 4, 2)
@@ -30,6 +34,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY, 2048)
 
@@ -51,7 +59,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_toxicity": op2_toxicity,
+    "op3_ann": op3_ann,
     "op4_language": op4_language,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_contamination": op8_contamination,
     "op9_tokens": op9_tokens,
