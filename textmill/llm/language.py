@@ -183,13 +183,18 @@ def fit(rows: DataFrame, cfg: Config = Config()) -> Model:
     return Model(langs, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32) if langs else np.zeros((1 << cfg.bits, 0), dtype=np.float32))
 
 
-def identify(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
-    """``docs`` with lang_pred string, score double and langs array (the mixture's set, largest first); input columns of these names are replaced."""
+def language_of(model: Model, cfg: Config = Config()):
+    """A function of a text column that gives lang, score and langs."""
 
     @F.pandas_udf("lang string, score double, langs array<string>")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
             yield pd.DataFrame(infer(texts.tolist(), model, cfg), columns=["lang", "score", "langs"])
 
-    found = without(docs, "lang_pred", "score", "langs").withColumn("_found", of("text"))
-    return found.select(*[c for c in found.columns if c != "_found"], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.langs").alias("langs"))
+    return of
+
+
+def identify(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
+    """``docs`` with lang_pred string, score double and langs array (the mixture's set, largest first); input columns of these names are replaced."""
+    found = without(docs, "lang_pred", "score", "langs", "_found").withColumn("_found", language_of(model, cfg)("text"))
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != "_found"], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.langs").alias("langs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import ann, contamination, language, licenses, neardup, packing, tokens, toxicity, warc
+from textmill.llm import ann, chat, contamination, language, licenses, neardup, packing, tokens, toxicity, warc
 from textmill.llm.common import held_out
 from textmill.sources.tables import read_table
 
@@ -38,6 +38,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.format_chats(read_table(spark, sf_dir, "conversations"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("inserted_before", "inserted_after")]
+    return done.select("conv_id", "turn", "role", "new_role", "action", *lists, "rendered")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY, 2048)
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_ann": op3_ann,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
+    "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_contamination": op8_contamination,
     "op9_tokens": op9_tokens,

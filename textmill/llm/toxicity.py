@@ -231,8 +231,8 @@ def sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
 
 
-def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
-    """``docs`` with score double and predicted int; input columns of these names are replaced."""
+def score_of(model: Model, cfg: Config = Config()):
+    """A function of a text column that gives its score."""
 
     @F.pandas_udf("double")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -240,5 +240,10 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
         for texts in it:
             yield pd.Series([s.score(t) for t in texts], dtype="float64")
 
-    out = without(docs, "score", "predicted").withColumn("score", of("text"))
+    return of
+
+
+def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
+    """``docs`` with score double and predicted int; input columns of these names are replaced."""
+    out = without(docs, "score", "predicted").withColumn("score", score_of(model, cfg)("text"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
