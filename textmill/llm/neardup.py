@@ -155,7 +155,7 @@ def signed(docs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, cfg: Config) -> DataFrame:
-    """doc_id, f1 and the sorted shingle hashes as bytes."""
+    """doc_id, f1, the sorted shingle hashes, and the sorted distinct upper halves of them, as bytes."""
 
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
@@ -163,10 +163,10 @@ def sets_of(docs: DataFrame, cfg: Config) -> DataFrame:
             ids = p["doc_id"].tolist()
             for some in _slices(p["text"].tolist(), cfg.slice_bytes):
                 sets = shingle_sets(some, cfg.shingle)
-                yield pd.DataFrame({"doc_id": ids[at : at + len(some)], "f1": [fingerprint(s)[0] for s in sets], "set": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"doc_id": ids[at : at + len(some)], "f1": [fingerprint(s)[0] for s in sets], "set": [s.tobytes() for s in sets], "half": [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]})
                 at += len(some)
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, f1 long, set binary")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, f1 long, set binary, half binary")
 
 
 def postings(reps: DataFrame, cfg: Config) -> DataFrame:
@@ -227,34 +227,67 @@ def meet_leaders(posts: DataFrame, cfg: Config) -> DataFrame:
     return pairs.filter(equal("sig", "s") >= cfg.match).select("a", "b")
 
 
-def meet_rest(posts: DataFrame, comp: DataFrame, cfg: Config) -> DataFrame:
-    """Distinct pairs (a < b) in large postings with enough collisions whose components differ. comp: doc, comp."""
+def meet_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
+    """Distinct pairs (a < b) in large postings whose components differ, with enough collisions and sets that are similar by 32 bits of each hash, which
+    never lose a similar pair. comp: doc, comp. A pair is looked at in the least posting that it shares."""
     large = posts.filter(F.col("c") > cfg.small).join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     parts = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    top = parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("all")).filter("comps > 1")
-    rows = large.join(cut(top, "largest"), "key").withColumn("blocks", F.ceil(F.col("all") / cfg.block).cast("int"))
+    top = parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.count("*").alias("comps"), F.sum("k").alias("all")).filter("comps > 1")
+    rows = large.join(cut(top, "largest"), "key").drop("c")
+    keys = cut(rows.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("keys")), "keys")  # at most a prefix each
+    rows = rows.join(keys, "doc").join(sets.select(F.col("doc_id").alias("doc"), "half"), "doc")
+    rows = rows.withColumn("blocks", F.ceil(F.col("all") / cfg.block).cast("int")).withColumn("rounds", F.ceil((F.col("all") - F.col("most")) / cfg.block).cast("int"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    # a document outside the largest component goes to every block of its posting, the others to one
-    where = F.when(F.col("comp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.select("key", F.explode(where).alias("block"), "doc", "n", "sig", "comp", "top", own.alias("own"))
+    turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rounds")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a document waits in its own block in every round; outside the largest component it also visits every block in its own round
+    there = F.transform(upto("rounds"), lambda r: F.struct(own.alias("block"), r.alias("round")))
+    visits = F.when(F.col("comp") == F.col("top"), F.array().cast("array<struct<block:int,round:int>>")).otherwise(F.transform(upto("blocks"), lambda b: F.struct(b.alias("block"), turn.alias("round"))))
+    spread = rows.select("key", F.explode(F.array_distinct(F.concat(there, visits))).alias("at"), "doc", "n", "sig", "comp", "top", "keys", "half", own.alias("own"), turn.alias("turn"))
+    spread = spread.select("key", "at.block", "at.round", "doc", "n", "sig", "comp", "top", "keys", "half", "own", "turn")
 
     def meet(p: pd.DataFrame) -> pd.DataFrame:
+        key = int(p["key"].iloc[0])
         sig = np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(len(p), cfg.coords)
-        doc, n, comp = (p[c].to_numpy() for c in ("doc", "n", "comp"))
+        doc, n, comp, half, keys = (p[c].to_numpy() for c in ("doc", "n", "comp", "half", "keys"))
+        half = [np.frombuffer(x, dtype=np.uint32) for x in half]
         mine = np.flatnonzero(p["own"].to_numpy() == p["block"].to_numpy())
-        out = np.flatnonzero(comp != p["top"].to_numpy())
-        a, b = [], []
-        for lo in range(0, len(out), 256):
-            o = out[lo : lo + 256]
+        out = np.flatnonzero((comp != p["top"].to_numpy()) & (p["turn"].to_numpy() == p["round"].to_numpy()))
+        found: set[tuple[int, int]] = set()
+        for lo in range(0, len(out), 64):
+            o = out[lo : lo + 64]
             ok = (comp[o][:, None] != comp[mine][None]) & sizes_allow(n[o][:, None], n[mine][None], cfg.percent)
-            if ok.any():
-                i, j = np.nonzero(ok & (collisions(sig[o], sig[mine]) >= cfg.match))
-                a.append(doc[o[i]])
-                b.append(doc[mine[j]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return spread.groupBy("key", "block").applyInPandas(meet, "a long, b long").distinct()
+            if not ok.any():
+                continue
+            ok &= collisions(sig[o], sig[mine]) >= cfg.match
+            for x, row in zip(o, ok):
+                m = mine[row]
+                m = m[[_least_common(keys[x], keys[y]) == key for y in m]] if len(m) else m
+                if not len(m):
+                    continue
+                size = np.array([len(half[y]) for y in m])
+                flat = np.concatenate([half[y] for y in m])
+                at = np.minimum(np.searchsorted(half[x], flat), len(half[x]) - 1)
+                both = np.add.reduceat((half[x][at] == flat).astype(np.int64), np.cumsum(size) - size)
+                # equal halves of different hashes make sets smaller by as many: count what is missing as shared
+                both = both + (n[x] - len(half[x])) + (n[m] - size)
+                for y in m[100 * both >= cfg.percent * (n[x] + n[m] - both)]:
+                    found.add((min(doc[x], doc[y]), max(doc[x], doc[y])))
+        a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return spread.groupBy("key", "block", "round").applyInPandas(meet, "a long, b long").distinct()
+
+
+def _least_common(a: np.ndarray, b: np.ndarray) -> int:
+    """The least element of two sorted arrays that share one."""
+    i = j = 0
+    while a[i] != b[j]:
+        if a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    return int(a[i])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
@@ -305,10 +338,10 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     posts = cut(postings(reps, cfg), "postings")
     near = cut(meet_leaders(posts, cfg), "pairs")
     wanted = reps.join(near.select(F.col("a").alias("doc")).union(near.select("b")).union(posts.filter(F.col("c") > cfg.small).select("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "f1")
-    sets = cut(sets_of(docs.join(wanted, "doc_id", "left_semi"), cfg).join(wanted, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
+    sets = cut(sets_of(docs.join(wanted, "doc_id", "left_semi"), cfg).join(wanted, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set", "half"), "sets")
     links = cut(confirm(near, sets, cfg), "links")
     comp = components(links)
-    rest = cut(meet_rest(posts, comp, cfg), "pairs")
+    rest = cut(meet_rest(posts, comp, sets, cfg), "pairs")
     if rest.limit(1).count():
         comp = components(links.unionByName(confirm(rest, sets, cfg)))
     release(near, rest, posts, sets)
