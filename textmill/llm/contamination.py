@@ -50,18 +50,20 @@ def hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataF
     fingerprints = tests.withColumn("_k", grams(F.col("_h"), k)).select(F.explode(F.when(F.col("_n") == span, minima(F.col("_k"), span - k + 1)).otherwise(F.array(F.xxhash64("_h")))).alias("_f")).distinct()
     spans = tests.select("item_id", "_n", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, F.col("_n")), " "))).alias("_s")).distinct()
 
-    d = hashed(docs.select("doc_id", "text").filter("text is not null").withColumn("_t", F.xxhash64("text"))).withColumn("_k", grams(F.col("_h"), k))
+    # explode_outer: of the inner form a filter is inferred that would compute the fingerprints twice; the join drops its nulls
+    texts = docs.select("doc_id", "text").filter("text is not null").withColumn("_t", F.xxhash64("text"))
+    d = hashed(texts).withColumn("_k", grams(F.col("_h"), k))
     every = F.concat(minima(F.col("_k"), span - k + 1), *[F.array_distinct(grams(F.col("_h"), n)) for n in short])
-    met = d.select("doc_id", "_t", F.explode(every).alias("_f")).join(broadcast_checked(fingerprints, F.lit(16)), "_f").groupBy("doc_id", "_t").agg(F.collect_set("_f").alias("_m"))
+    met = d.select("doc_id", "_t", F.explode_outer(every).alias("_f")).join(broadcast_checked(fingerprints, F.lit(16)), "_f").groupBy("doc_id", "_t").agg(F.collect_set("_f").alias("_m"))
 
-    there = d.alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._t") == F.col("m._t")))
-    there = there.select("d.doc_id", "d._t", "_w", "_h", "_k", "_m")
+    there = texts.alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._t") == F.col("m._t")))
+    there = hashed(there.select("d.doc_id", "d._t", "d.text", "_m")).withColumn("_k", grams(F.col("_h"), k))
     around = lambda p: F.sequence(F.greatest(p - (span - k), F.lit(0)), F.least(p, F.size("_w") - span))
     at = lambda c: F.filter(F.transform(c, lambda x, i: F.when(F.array_contains("_m", x), i)), lambda i: i.isNotNull())
     # a k-gram near an end of the text has fewer spans around it
     long_at = F.array_distinct(F.flatten(F.transform(F.filter(at(F.col("_k")), lambda p: (F.size("_w") >= span) & (F.greatest(p - (span - k), F.lit(0)) <= F.least(p, F.size("_w") - span))), around)))
     as_spans = lambda c, n: F.transform(c, lambda i: F.struct(i.cast("int").alias("i"), F.lit(n).alias("n")))
-    cand = there.select("doc_id", "_t", "_w", F.explode(F.concat(as_spans(long_at, span), *[as_spans(at(grams(F.col("_h"), n)), n) for n in short])).alias("_at"))
+    cand = there.select("doc_id", "_t", "_w", F.explode_outer(F.concat(as_spans(long_at, span), *[as_spans(at(grams(F.col("_h"), n)), n) for n in short])).alias("_at"))
     cand = cand.select("doc_id", "_t", "_at", F.array_join(F.slice("_w", F.col("_at.i") + 1, F.col("_at.n")), " ").alias("_s"))
     equal = cand.join(broadcast_checked(spans, F.octet_length("_s") + 48), "_s")
     equal = equal.filter(F.col("_n") == F.col("_at.n"))

@@ -63,7 +63,7 @@ def template_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     spark = docs.sparkSession
     vocab = sorted({x for _, t in templates for x in t.split()})
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    counts = with_words(docs).select(F.explode(F.array_intersect(lit(vocab), F.col("_w"))).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    counts = with_words(docs).select(F.explode_outer(F.array_intersect(lit(vocab), F.col("_w"))).alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
     n = {r["x"]: r["n"] for r in counts.collect()}  # at most one row for each template word
     order = sorted(vocab, key=lambda x: (n.get(x, 0), x))
     rank = {x: i for i, x in enumerate(order)}
@@ -75,7 +75,7 @@ def template_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
         rows += [(x, label, toks, len(toks), need, i) for i, x in enumerate(toks[: len(toks) - need + 1])]
     heads = spark.createDataFrame(rows, "x string, label string, toks array<string>, size int, need int, i int")
 
-    lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_t"), F.explode(F.split(ascii_lower(F.col("text")), "\n")).alias("line"))
+    lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_t"), F.explode_outer(F.split(ascii_lower(F.col("text")), "\n")).alias("line"))
     rare = [x for x in order if any(r[0] == x for r in rows)]
     lines = lines.filter(F.col("line").rlike("|".join(re.escape(x) for x in rare)))  # a block without such a string has no prefix word of any template
     blocks = lines.select("doc_id", "_t", F.array_intersect(lit(order), words(F.col("line"))).alias("b")).filter(F.size("b") >= int(least))
