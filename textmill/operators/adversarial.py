@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from textmill.functions.dialect import SPARK, Spark
+from pyspark.sql import DataFrame
+
+from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 from textmill.operators.semantic_quality import clamp, hits, per
 
 # The patterns, weights and severities below define the screening.
@@ -103,3 +105,13 @@ def issues(d: Spark) -> str:
     items += [f"CASE WHEN {k} > 0 THEN 'harmful_content_{k}' ELSE '' END" for k in HARM]
     items.append("CASE WHEN robustness < 0.5 THEN 'low_robustness' ELSE '' END")
     return d.join(d.filter(d.array(*items), "x <> ''"), ",")
+
+
+def screen(df: DataFrame) -> DataFrame:
+    """``df`` (doc_id, text) with all scores, requires_review and issues."""
+    out = prepare(df)
+    f = {**bias(SPARK), **harm(SPARK), **robustness(SPARK), **contradictions(SPARK)}
+    late = ("bias_score", "harm_score", "harm_level")
+    out = evaluate(out, {k: v for k, v in f.items() if k not in late})
+    out = evaluate(out, {**{k: f[k] for k in late}, "contradiction_score": "contradictions / greatest(size(_s), 1)"})
+    return evaluate(out, {**review(), "issues": issues(SPARK)})

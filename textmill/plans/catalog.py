@@ -123,15 +123,6 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contradictions", F.round(F.col("contradictions") / F.greatest(F.size("_s"), F.lit(1)), 9).alias("contradiction_score"))
 
 
-def _review(df: DataFrame) -> DataFrame:
-    out = prepare(df)
-    f = {**adversarial.bias(SPARK), **adversarial.harm(SPARK), **adversarial.robustness(SPARK), **adversarial.contradictions(SPARK)}
-    late = ("bias_score", "harm_score", "harm_level")
-    out = evaluate(out, {k: v for k, v in f.items() if k not in late})
-    out = evaluate(out, {**{k: f[k] for k in late}, "contradiction_score": "contradictions / greatest(size(_s), 1)"})
-    return evaluate(out, {**adversarial.review(), "issues": adversarial.issues(SPARK)})
-
-
 def _review_sql() -> str:
     f = {**adversarial.bias(DUCK), **adversarial.harm(DUCK), **adversarial.robustness(DUCK)}
     late = ("bias_score", "harm_score", "harm_level")
@@ -144,7 +135,7 @@ def _review_sql() -> str:
 
 @query("adversarial_review", _review_sql())
 def adversarial_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _review(cued(spark, sf_dir)).select("doc_id", "requires_review", "issues")
+    return adversarial.screen(cued(spark, sf_dir)).select("doc_id", "requires_review", "issues")
 
 
 # --- cleaning and personal data
