@@ -9,7 +9,7 @@ seen. Training reads a sample of labelled rows bounded by ``Config.max_train_doc
 
 Defined results: a null or empty text scores as a text without savings (the calibrated least score); equal texts score
 equally; a text of any length is cut into windows of words, one long word alone into pieces of ``Config.max_window`` bytes.
-Without any labelled row of either class every score is 0.
+Without labelled rows of both classes, or where the dictionaries do not tell them apart, every score is near 0.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ class Scorer:
     def __init__(self, model: Model, cfg: Config):
         self.model, self.cfg = model, cfg
         self.t, self.o = compressor(model.toxic or b" ").compress, compressor(model.ordinary or b" ").compress
-        self.pad = model.ordinary[: model.shared][-cfg.pad_bytes :]  # costs the same with both; no match begins in the last 8 bytes of an input
+        self.pad = model.ordinary[: model.shared][-cfg.pad_bytes :].rjust(cfg.pad_bytes, b"\0")  # costs the same with both; no match begins in the last 8 bytes of an input
         self.words: dict[bytes, int] = {}
 
     def word(self, w: bytes) -> int:
@@ -149,6 +149,8 @@ def calibrate(model: Model, savings: list[tuple[int, list[int]]]) -> Model:
     top = [max(b, default=0) for _, b in savings]
     gain = lambda t: np.mean([v >= t for v, a in zip(top, y) if a == 1]) - np.mean([v >= t for v, a in zip(top, y) if a == 0])
     best = next(t for t in range(1, 16) if gain(t) >= max(map(gain, range(1, 16))) - 0.01)
+    if gain(best) < 0.05:  # the dictionaries tell nothing apart
+        return Model()
     model.threshold = best
     x = np.array([[np.log1p(h := sum(s >= best for s in b)), min(max(m, 0), 20) / 10, h / max(len(b), 1)] for (_, b), m in zip(savings, top)])
     model.weights = logistic(x, y)
