@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import ann, chat, contamination, language, licenses, neardup, packing, tokens, toxicity, warc
 from textmill.llm.common import held_out
+from textmill.llm.oracle import ORACLE_SQL  # noqa: F401
 from textmill.sources.tables import read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -74,4 +75,4 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {}
+
