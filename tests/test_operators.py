@@ -44,6 +44,7 @@ def test_basic_quality(spark):
     }
     got = {r["text"]: r["quality_score"] for r in quality.score(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
     assert {k: round(float(v), 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert {k: round(quality.basic_score(k), 6) for k in want} == {k: round(v, 6) for k, v in want.items()}
 
 
 def test_chunk_counts(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 from textmill.operators.semantic_quality import avg_word_length
 
+SPECIAL = re.compile(r"[^a-zA-Z0-9\s]", re.ASCII)
 MIN_WORDS, MAX_WORDS, MIN_LENGTH, MAX_REPETITION = 10, 10_000, 3, 0.3
 
 
@@ -61,8 +63,36 @@ def score(df: DataFrame) -> DataFrame:
     return evaluate(out, {"quality_score": basic(SPARK)}).withColumnRenamed("_rep", "repetition_ratio").drop("_t", "_l", "_w", "_p", "_s")
 
 
+def basic_score(text: str | None) -> float:
+    """What ``basic`` gives, for one text."""
+    t = text or ""
+    if not t:
+        return 0.0
+    w = t.split()
+    parts = [0.0 if len(w) < MIN_WORDS else 0.5 if len(w) > MAX_WORDS else 1.0]
+    if w:
+        parts.append(min(sum(map(len, w)) / len(w) / MIN_LENGTH, 1.0))
+    r = repetition(t)
+    parts.append(1.0 if r <= MAX_REPETITION else 1.0 - r)
+    parts.append(1.0 - min(2.0 * len(SPECIAL.findall(t)) / len(t), 1.0))
+    parts.append(0.5 if sum(map(str.isupper, t)) / len(t) > 0.5 else 1.0)
+    return sum(parts if w else [parts[0], 0.0, *parts[1:]]) / (5.0 if w else 4.0)
+
+
+def quality_score(text: Column) -> Column:
+    """The whole score in one Arrow function. A filter on the column form would be pushed below the text's own expressions and compute them anew for each
+    of the formula's references."""
+
+    @F.pandas_udf("double")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield s.map(basic_score).astype("float64")
+
+    return of(text)
+
+
 def quality_filter(df: DataFrame, threshold: float = 0.7, languages: list[str] | None = None, language: str = "lang") -> DataFrame:
     """Rows in an allowed language (all if None) that score at least ``threshold``; the cheap test first."""
     if languages is not None:
         df = df.filter(F.col(language).isin(languages))
-    return score(df).filter(F.col("quality_score") >= threshold)
+    return df.withColumn("quality_score", quality_score(F.col("text"))).filter(F.col("quality_score") >= threshold)

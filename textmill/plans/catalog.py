@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions.dialect import DUCK, SPARK, Spark, doubles, duck_prepared, evaluate, prepare
 from textmill.operators import adversarial, chunking, clean, dedup, knowledge, metacognition, quality, semantic_quality, stats
 from textmill.sources import web
-from textmill.sources.tables import read_table
+from textmill.sources.tables import read_table, spread
 
 CUES = [
     "Because research at the university shows data, experts argue that 45% of people agree; therefore the study concludes it is true.",
@@ -28,9 +28,13 @@ CUES = [
 ]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def cued(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue = F.element_at(F.array(*[F.lit(c) for c in CUES]), (F.pmod("doc_id", F.lit(len(CUES))) + 1).cast("int"))
-    return read_table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(" "), cue))
+    return documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" "), cue))
 
 
 DUCK_CUED = "(SELECT * REPLACE (text || ' ' || [" + ", ".join("'" + c.replace("'", "''") + "'" for c in CUES) + f"][(doc_id % {len(CUES)}) + 1] AS text) FROM documents)"
@@ -145,7 +149,7 @@ _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_re
 
 @query("clean_text", f"SELECT doc_id, {_CLEAN.format(t='text')} AS text FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return clean.clean_documents(documents(spark, sf_dir)).select("doc_id", "text")
 
 
 @query("clean_pages", f"SELECT page_id, {_CLEAN.format(t='html')} AS text FROM pages")
@@ -164,22 +168,22 @@ def _sql_redact(text: str, to: Callable[[str], str]) -> str:
 
 @query("pii_mask", f"SELECT doc_id, {_sql_redact(f'''text || '{_EXTRA}' ''', lambda k: f'[{k}]')} AS text FROM documents")
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", clean.redact(F.concat("text", F.lit(_EXTRA))).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", clean.redact(F.concat("text", F.lit(_EXTRA))).alias("text"))
 
 
 @query("pii_remove", f"SELECT doc_id, {_sql_redact('text', lambda k: '')} AS text FROM documents")
 def pii_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", clean.redact(F.col("text"), "remove").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", clean.redact(F.col("text"), "remove").alias("text"))
 
 
 @query("pii_hash")
 def pii_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", clean.redact(F.concat("text", F.lit(_EXTRA)), "hash").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", clean.redact(F.concat("text", F.lit(_EXTRA)), "hash").alias("text"))
 
 
 @query("pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k.lower()}" for k, p in clean.PII.items()) + " FROM documents")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", *clean.pii_counts(F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", *clean.pii_counts(F.col("text")))
 
 
 @query("pii_conversations", f"SELECT conv_id, turn, {_sql_redact('text', lambda k: f'[{k}]')} AS text FROM conversations")
@@ -196,12 +200,12 @@ _BASIC = f"WITH {_REP}, q AS (SELECT d.doc_id, _rep, {quality.basic(DUCK)} AS qu
 
 @query("basic_quality", f"{_BASIC} SELECT doc_id, round(_rep, 9) AS repetition_ratio, round(quality_score, 9) AS quality_score FROM q")
 def basic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(read_table(spark, sf_dir, "documents")).select("doc_id", F.round("repetition_ratio", 9).alias("repetition_ratio"), F.round("quality_score", 9).alias("quality_score"))
+    return quality.score(documents(spark, sf_dir)).select("doc_id", F.round("repetition_ratio", 9).alias("repetition_ratio"), F.round("quality_score", 9).alias("quality_score"))
 
 
 @query("quality_filter", f"{_BASIC} SELECT q.doc_id FROM q JOIN documents USING (doc_id) WHERE quality_score >= 0.9 AND lang IN ('en', 'de')")
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_filter(read_table(spark, sf_dir, "documents"), 0.9, ["en", "de"]).select("doc_id")
+    return quality.quality_filter(documents(spark, sf_dir), 0.9, ["en", "de"]).select("doc_id")
 
 
 # --- chunking
@@ -211,14 +215,14 @@ _W = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x:
 
 @query("chunk_fixed", f"SELECT doc_id, i AS start_index, least(i + 64, len(w)) AS end_index, array_to_string(w[i + 1:i + 64], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, len(w), 64)) AS i FROM {_W}) WHERE length(array_to_string(w[i + 1:i + 64], ' ')) >= 100")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.explode_chunks(chunking.chunk(read_table(spark, sf_dir, "documents"), "fixed", 64))
+    c = chunking.explode_chunks(chunking.chunk(documents(spark, sf_dir), "fixed", 64))
     return c.select("doc_id", "start_index", "end_index", "text")
 
 
 @query("chunk_sliding", f"""SELECT doc_id, i AS start_index, least(i + 64, len(w)) AS end_index, CASE WHEN i = 0 THEN 0 ELSE 8 END AS overlap_prev, CASE WHEN i + 64 >= len(w) THEN 0 ELSE 8 END AS overlap_next,
   array_to_string(w[i + 1:i + 64], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, len(w), 56)) AS i FROM {_W}) WHERE (i = 0 OR i - 56 + 64 < len(w)) AND length(array_to_string(w[i + 1:i + 64], ' ')) >= 100""")
 def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.explode_chunks(chunking.chunk(read_table(spark, sf_dir, "documents"), "sliding_window", 64, 8))
+    c = chunking.explode_chunks(chunking.chunk(documents(spark, sf_dir), "sliding_window", 64, 8))
     return c.select("doc_id", "start_index", "end_index", "overlap_prev", "overlap_next", "text")
 
 
@@ -234,7 +238,7 @@ def _pack_sql(source: str, key: str, split: str, sep: str, size: int) -> str:
 
 @query("chunk_sentence", _pack_sql("documents", "doc_id", "[.!?]+", "' '", 40))
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.explode_chunks(chunking.chunk(read_table(spark, sf_dir, "documents"), "sentence", 40))
+    c = chunking.explode_chunks(chunking.chunk(documents(spark, sf_dir), "sentence", 40))
     return c.select("doc_id", "text", F.col("parts").cast("long").alias("parts"), F.col("word_count").cast("long").alias("word_count"))
 
 
@@ -254,7 +258,7 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_sections")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.explode_chunks(chunking.chunk(read_table(spark, sf_dir, "documents"), "sections", 64)).select("doc_id", "chunk_ix", "text", "word_count")
+    return chunking.explode_chunks(chunking.chunk(documents(spark, sf_dir), "sections", 64)).select("doc_id", "chunk_ix", "text", "word_count")
 
 
 @query("chunk_rule_sections")
@@ -274,7 +278,7 @@ def semantic_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedup_documents", "SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents GROUP BY text")
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_documents(read_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return dedup.dedup_documents(documents(spark, sf_dir), ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 @query("dedup_chunks", f"""SELECT doc_id, start_index, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, start_index) AS n FROM ({ORACLE_SQL['chunk_fixed']})) WHERE n = 1""")
@@ -349,41 +353,41 @@ def _stat_sql(c: str, name: str) -> str:
 
 @query("dataset_summary", f"SELECT count(*) AS total_documents, CAST(coalesce(sum(c), 0) AS BIGINT) AS total_text_length, {_stat_sql('c', 'text_length')}, {_stat_sql('k', 'word_count')} FROM (SELECT length(text) AS c, len(w) AS k FROM (SELECT text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents))")
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.summary(read_table(spark, sf_dir, "documents"))
+    return stats.summary(documents(spark, sf_dir))
 
 
 @query("vocabulary", "SELECT count(DISTINCT x) AS vocabulary_size, count(*) AS total_words FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS x FROM documents)")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.vocabulary(read_table(spark, sf_dir, "documents"))
+    return stats.vocabulary(documents(spark, sf_dir))
 
 
 @query("language_counts", "SELECT lang, count(*) AS documents FROM documents GROUP BY lang")
 def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counts_by(read_table(spark, sf_dir, "documents"), "lang")
+    return stats.counts_by(documents(spark, sf_dir), "lang")
 
 
 @query("source_counts", "SELECT source, count(*) AS documents FROM documents GROUP BY source")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counts_by(read_table(spark, sf_dir, "documents"), "source")
+    return stats.counts_by(documents(spark, sf_dir), "source")
 
 
 @query("quality_stats", f"{_BASIC} SELECT round(avg(quality_score), 9) AS mean, round(median(quality_score), 9) AS median, round(min(quality_score), 9) AS min, round(max(quality_score), 9) AS max, round(stddev_samp(quality_score), 9) AS stdev FROM q")
 def quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.score_stats(quality.score(read_table(spark, sf_dir, "documents")))
+    s = stats.score_stats(quality.score(documents(spark, sf_dir)))
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
 @query("preview_metrics", """SELECT round(avg(q), 4) AS avg_quality, min(n) AS min_length, max(n) AS max_length, avg(n) AS avg_length, count(*) FILTER (q >= 0.8) AS excellent, count(*) FILTER (q >= 0.6 AND q < 0.8) AS good,
   count(*) FILTER (q >= 0.4 AND q < 0.6) AS fair, count(*) FILTER (q < 0.4) AS poor FROM (SELECT length(text) AS n, round(least(length(text) / 1000, 1.0) * CASE WHEN length(text) < 50 THEN 0.5 ELSE 1.0 END, 2) AS q FROM documents)""")
 def preview_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.preview_metrics(read_table(spark, sf_dir, "documents"))
+    return stats.preview_metrics(documents(spark, sf_dir))
 
 
 # --- the flagship: clean, filter, redact, chunk, de-duplicate and count
 
 @query("dataset_by_language")
 def dataset_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = clean.clean_documents(read_table(spark, sf_dir, "documents"))
+    d = clean.clean_documents(documents(spark, sf_dir))
     d = quality.quality_filter(d, 0.7).withColumn("text", clean.redact(F.col("text")))
     c = chunking.explode_chunks(chunking.chunk(d, "sliding_window", 64, 8))
     kept = dedup.dedup_chunks(c, ["doc_id", "chunk_ix"]).groupBy("doc_id").agg(F.count("*").alias("chunks"))
