@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -149,6 +150,32 @@ def test_licenses(spark):
     assert hit == want
 
 
+def test_licenses_wrapped(spark):
+    rng = random.Random(10)
+    fill = lambda n: "\n".join(some_text(rng, 9) for _ in range(n))
+    rows, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        for j, (width, mark) in enumerate([(70, ""), (70, "# "), (30, " * ")]):
+            rows.append((i := 10 * k + j, fill(3) + "\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n" + fill(300 * (j == 0))))
+            want[i] = label
+    rows.append((900, "\n".join(x + "\n" + fill(4) for x in licenses.TEMPLATES[6][1].split())))  # its words far apart
+    rows.append((901, "Permission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software and associated documentation files"))
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(want[i] in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i in want)
+    assert (got[900]["labels"], got[900]["score"]) == ("", 0.0) and (got[901]["labels"], got[901]["score"]) == ("mit", 1.0)
+    # brute force over lines and runs
+    length = max(len(t.split()) for _, t in licenses.TEMPLATES)
+    hit = {(r["doc_id"], tuple(r["labels"]), round(r["containment"], 9)) for r in licenses.template_labels(frame(spark, rows)).collect()}
+    brute = set()
+    for i, t in rows:
+        w = words(t)
+        blocks = [set(words(x)) for x in low(t).split("\n")] + [set(w[k : k + length]) for k in range(max(len(w) - length, 0) + 1)]
+        c = {(label, max(len(set(x.split()) & b) / len(set(x.split())) for b in blocks)) for label, x in licenses.TEMPLATES}
+        if c := {(label, v) for label, v in c if v >= 0.8 - 1e-9}:
+            brute.add((i, tuple(sorted({label for label, _ in c})), round(max(v for _, v in c), 9)))
+    assert hit == brute
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(7)

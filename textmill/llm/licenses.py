@@ -1,13 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates, in DataFrame operations only.
 
-Base: the places where a phrase's words stand consecutively. Method: a block is a line; it meets a template if it contains
-at least ``threshold`` of the template's distinct words. Template words are ordered by their frequency over all documents,
+Base: the places where a phrase's words stand consecutively. Method: a block is a line, or a run of as many consecutive words
+as the longest template has, over line breaks, so that wrapped statements are met; it meets a template if it contains at
+least ``threshold`` of the template's distinct words. Template words are ordered by their frequency over all documents,
 the rarest first. A block and a template that meet share a word among the first |T| - o + 1 of the template and the first
 |B| - o + 1 of the block's template words, where o is the overlap that is needed; words there are joined, pairs with too few
-words (length) or too few left after the shared one (position) go, and the rest are counted in full.
+words (length) or too few left after the shared one (position) go, and the rest are counted in full. Of runs, those around a
+word of a template's first |T| - o + 1 are counted, as every run that meets it has one.
 
 Defined results: a null or empty text has no words, no places and no labels, and score 0; equal rows give equal results, each
-its own row; a line of any length is one block.
+its own row; a line of any length is one block; a text with fewer words than a run is one run.
 """
 
 from __future__ import annotations
@@ -58,6 +60,22 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).withColumn("_w", words(F.col("text")))
 
 
+def runs(docs: DataFrame, heads: DataFrame, rare: list[str], length: int) -> DataFrame:
+    """Runs of ``length`` words that meet a template of ``heads``, in texts of several lines: doc_id, _t, label, size and n, the most words of the template
+    in a run around one of its first words. Runs in one line are left to its block."""
+    w = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_t"), ascii_lower(F.col("text")).alias("low"))
+    w = w.filter(F.col("low").contains("\n") & F.col("low").rlike("|".join(re.escape(x) for x in rare))).select("doc_id", "_t", words(F.col("low")).alias("w"))
+    first = lambda p: F.greatest(p - (length - 2), F.lit(1))
+    around = lambda x, p: F.when(x.isin(rare), F.struct(x.alias("x"), F.slice("w", first(p), p + length - first(p) + 1).alias("s")))
+    # the words around are cut out before they are rows, so that no row carries a text; explode_outer: of the inner form a filter is inferred that would
+    # split the texts twice; the join drops its nulls
+    at = w.select("doc_id", "_t", F.explode_outer(F.filter(F.transform("w", around), lambda r: r.isNotNull())).alias("r")).select("doc_id", "_t", "r.*")
+    near = at.join(heads, "x").filter(F.size(F.array_intersect("s", "toks")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("s") - (length - 1), F.lit(1)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("s", i, length), F.col("toks")))))
+    return near.withColumn("n", most).filter(F.col("n") >= F.col("need")).select("doc_id", "_t", "label", "size", "n")
+
+
 def template_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per distinct document (doc_id, _t) with a block that meets a template: labels (sorted) and containment (the largest)."""
     spark = docs.sparkSession
@@ -80,9 +98,11 @@ def template_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     lines = lines.filter(F.col("line").rlike("|".join(re.escape(x) for x in rare)))  # a block without such a string has no prefix word of any template
     blocks = lines.select("doc_id", "_t", F.array_intersect(lit(order), words(F.col("line"))).alias("b")).filter(F.size("b") >= int(least))
     heads_of = blocks.select("doc_id", "_t", "b", F.posexplode(F.slice("b", 1, F.size("b") - int(least) + 1)).alias("j", "x"))
-    pairs = heads_of.join(broadcast_checked(heads, F.lit(600)), "x")
+    heads = broadcast_checked(heads, F.lit(600))
+    pairs = heads_of.join(heads, "x")
     pairs = pairs.filter((F.size("b") >= F.col("need")) & (F.least(F.size("b") - F.col("j"), F.col("size") - F.col("i")) >= F.col("need")))
     met = pairs.withColumn("n", F.size(F.array_intersect("b", "toks"))).filter(F.col("n") >= F.col("need"))
+    met = met.select("doc_id", "_t", "label", "size", "n").unionByName(runs(docs, heads, rare, max(len(t.split()) for _, t in templates)))
     return met.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
