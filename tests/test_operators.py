@@ -1,7 +1,9 @@
 """Golden values and restatements of the operators on small inputs."""
 
 import io
+import random
 import zipfile
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,24 @@ def test_dedup_similar(spark):
     assert sorted(r["k"] for r in dedup.dedup_similar(df, "k", 0.9).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.8])
+def test_similar_pairs(spark, threshold):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ijklmnop") for _ in range(n))
+    rows = []
+    for n in [1, 2, 5, 12, 24, 24, 40, 40, 100, 100, 150, 400] * 3:
+        t = text(n)
+        rows.append(t)
+        for every in (20, 21, 30):  # edits spread evenly: replaced, then deleted and inserted
+            rows.append("".join("Z" if i % every == every // 2 else c for i, c in enumerate(t)))
+            rows.append("".join(("" if i % (2 * every) == 7 else c + "Y" * (i % (2 * every) == 27)) for i, c in enumerate(t)))
+    rows += [rows[0], rows[40], rows[40], None, "", "ünï" * 30, "ünï" * 29 + "x"]
+    rng.shuffle(rows)
+    got = {(r["a"], r["b"]): r["ratio"] for r in dedup.similar_pairs(spark.createDataFrame(list(enumerate(rows)), "k long, text string"), "k", threshold).collect()}
+    want = {(i, j): r for i, u in enumerate(rows) for j, v in enumerate(rows) if i < j and u and v and (r := SequenceMatcher(None, u, v).ratio()) >= threshold}
+    assert got == want and len(want) > 60
+
+
 def test_web(spark):
     html = '<html lang="en"><head><title>T &amp; x</title><meta property="og:description" content="d"><script>bad()</script></head><body><nav>no</nav><p>Hello <b>you</b></p><a href="/a#f">l</a><a href="mailto:x@y">m</a></body></html>'
     pages = spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/a", None), (3, "http://h/b", '<a href="http://h/a">z</a>')], "page_id long, url string, html string")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.llm.common import cut
+
 
 def dedup_documents(df: DataFrame, order: list[str], seen: DataFrame | None = None) -> DataFrame:
     """The first row of each text in the given order. Hash and order go through the window, and a text that many rows share is first cut to one
@@ -30,25 +34,96 @@ def seen_hashes(df: DataFrame) -> DataFrame:
     return df.select(F.md5(F.col("text").cast("binary")).alias("md5")).distinct()
 
 
-def similar_pairs(df: DataFrame, key: str, threshold: float = 0.95, shingle: int = 8, bands: int = 8) -> DataFrame:
-    """Pairs (a < b, ratio) of texts with a sequence ratio of at least ``threshold``. Candidates share one of ``bands`` least shingle hashes and could
-    reach the ratio by their lengths; texts are compared in full."""
-    t = df.select(F.col(key).alias("k"), "text").filter("length(text) > 0")
-    n = F.greatest(F.length("text") - shingle + 1, F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(shingle)))
-    least = F.array(*[F.array_min(F.transform(grams, lambda g, s=s: F.xxhash64(g, F.lit(s)))) for s in range(bands)])
-    posted = t.select("k", F.length("text").alias("n"), F.posexplode(least).alias("band", "h"))
-    a, b = posted.alias("a"), posted.alias("b")
-    near = 2 * F.least("a.n", "b.n") / (F.col("a.n") + F.col("b.n")) >= threshold
-    cand = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.k") < F.col("b.k")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+def reach(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The most single-character insertions and deletions between a text of ``n`` characters and one at least as long, at a ratio of ``threshold``."""
+    longest = np.floor(n * (2 - threshold) / threshold + 1e-6)
+    return np.floor((1 - threshold) * (n + longest) + 1e-6).astype(np.int64)
+
+
+def bucket_plan(b: int, threshold: float) -> tuple[int, int]:
+    """Of the length bucket ``b``: the size of chunks, so that any text whose partners are in it has more chunks than insertions and deletions, and the width of
+    position buckets, more than any shift."""
+    g = (2 - threshold) / threshold
+    n = np.arange(max(int(g ** (b - 1) * (1 - 1e-5)), 1), int(g ** (b + 1) * (1 + 1e-5)) + 2)
+    return int((n // (reach(n, threshold) + 1)).min()), int(reach(n, threshold).max()) + 1
+
+
+def posted(texts: DataFrame, threshold: float) -> DataFrame:
+    """``texts`` (k, text) as postings: key, k, n (length), p (position) and whole, true for every window of a text in its own length bucket, false for its
+    disjoint chunks in the buckets of partners of the same or a greater length."""
+    g = math.log((2 - threshold) / threshold) if threshold < 1 else 1.0
+
+    def hashed(c: np.ndarray, size: int, b: int, block: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(at), dtype=np.uint64)
+        for i in range(size):
+            h = (h ^ c[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h = (h ^ (block.astype(np.uint64) * np.uint64(4099) + np.uint64(b + 1))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        each = [len(x[1]) for x in out]
+        more = {name: np.repeat([x[i] for x in out], each) for i, name in ((2, "k"), (3, "n"), (4, "whole"))}
+        return pd.DataFrame({"key": np.concatenate([x[0] for x in out]), "k": more["k"], "n": more["n"], "p": np.concatenate([x[1] for x in out]), "whole": more["whole"]})
+
+    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans: dict[int, tuple[int, int]] = {}
+        for rows in it:
+            out, size = [], 0
+            for k, text in zip(rows["k"], rows["text"]):
+                c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+                n, x = len(c), math.log(len(c)) / g
+                for b in range(math.floor(x - 1e-6), math.floor(x + 1 + 1e-6) + 1):
+                    s, width = plans.setdefault(b, plans.get(b) or bucket_plan(b, threshold))
+                    jobs = []
+                    if b == math.floor(x):
+                        at = np.arange(n - s + 1) if s else np.zeros(1, dtype=np.int64)
+                        jobs.append((at, at // width, True))
+                    at = np.arange(n // s) * s if s else np.zeros(1, dtype=np.int64)
+                    jobs += [(at, at // width + d, False) for d in (-1, 0, 1)]
+                    for at, block, whole in jobs:
+                        out.append((hashed(c, s, b, block, at), at, k, n, whole))
+                        size += len(at)
+                if size > 200_000:
+                    yield frame(out)
+                    out, size = [], 0
+            if out:
+                yield frame(out)
+
+    return texts.select("k", "text").mapInPandas(of, f"key long, k {texts.schema['k'].dataType.simpleString()}, n int, p int, whole boolean")
+
+
+def similar_pairs(df: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
+    """Pairs (a < b, ratio) of rows whose texts have a sequence ratio of at least ``threshold``, all of them.
+
+    A ratio is at most 2 * LCS / (n + m), so similar texts differ by at most d = (1 - threshold) * (n + m) insertions and deletions. Each of these breaks at
+    most one of the shorter text's disjoint chunks; of more than d chunks one stands whole in the longer text, at most d characters from its place. Candidates
+    are the pairs with such a chunk; they are compared in full. Equal texts are compared once."""
+    rows = df.select(F.col(key).alias("k"), "text").filter("k is not null and length(text) > 0")
+    texts = rows.groupBy("text").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+    every = cut(posted(texts, threshold), "postings")
+    a, b = every.filter("not whole").alias("a"), every.filter("whole").alias("b")
+    d = (1 - threshold) * (F.col("a.n") + F.col("b.n")) + 1e-6
+    near = (F.col("a.n") <= F.col("b.n")) & (F.col("b.n") - F.col("a.n") <= d) & (F.abs(F.col("a.p") - F.col("b.p")) <= d)
+    cand = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k") != F.col("b.k")) & near).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b")).distinct()
 
     @F.pandas_udf("double")
     def ratio(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in it:
-            yield pd.Series([SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y)], dtype="float64")
+        def of(u: str, v: str) -> float:
+            m = SequenceMatcher(None, u, v)
+            return m.ratio() if m.quick_ratio() >= threshold else 0.0  # quick_ratio is never less
 
-    both = cand.join(t.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    return both.withColumn("ratio", ratio("ta", "tb")).filter(F.col("ratio") >= threshold).select("a", "b", "ratio")
+        for x, y in it:
+            yield pd.Series([of(u, v) for u, v in zip(x, y)], dtype="float64")
+
+    # a ratio depends on the order of its texts; the other order is needed if a row of the second text is before one of the first
+    both = cand.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta"), F.col("last").alias("la")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
+    ordered = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("ta").alias("x"), F.col("tb").alias("y")), F.when(F.col("b") < F.col("la"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tb").alias("x"), F.col("ta").alias("y"))))
+    found = both.select(F.explode(ordered).alias("o")).filter("o is not null").select("o.*").withColumn("ratio", ratio("x", "y")).filter(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    same = texts.filter("k < last").select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("ratio"))
+    member = rows.join(texts.select("text", F.col("k").alias("r")), "text").select("k", "r")
+    x, y = member.select(F.col("k").alias("ka"), F.col("r").alias("a")), member.select(F.col("k").alias("kb"), F.col("r").alias("b"))
+    return found.unionByName(same).join(x, "a").join(y, "b").filter("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
 
 
 def dedup_similar(df: DataFrame, key: str, threshold: float = 0.95, rounds: int = 30) -> DataFrame:
