@@ -66,6 +66,30 @@ def test_neardup_empty(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
 
+def test_neardup_keep_one_repeated(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (some_text(rng, 60, 5000) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [
+        (1, a, "x"), (1, a, "x"), (1, a, "y"),  # one row stays
+        (2, near(a), "x"),  # near 1
+        (3, b, "x"), (3, near(a), "x"),  # equal ids: b stays, the near copy of 1 goes
+        (4, near(b), "x"),  # near 3's b
+        (5, c, "x"), (5, d, "x"),  # both texts are clean
+        (6, near(d), "x"),  # near 5's second text
+        (7, "", "x"), (7, "", "x"), (8, "", "x"), (9, None, "x"), (9, None, "x"),
+        (None, e, "x"), (None, near(e), "x"), (10, e, "x"),
+    ]
+    docs = frame(spark, [(i, t, s) for i, t, s in rows])
+    got = neardup.keep_one(docs, neardup.Config(shingle=3, percent=80, match=14))
+    assert got.columns == docs.columns
+    key = lambda r: tuple(str(x) for x in r)
+    out = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key)
+    assert out == sorted([(1, a), (3, b), (5, c), (5, d), (7, ""), (8, ""), (9, None), (None, e), (None, near(e)), (10, e)], key=key)
+    again = neardup.keep_one(docs.orderBy(F.rand(3)).repartition(3), neardup.Config(shingle=3, percent=80, match=14))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
 def toxic_rows(n):
     rng = random.Random(4)
     pool = ["".join(rng.choice(["an", "er", "ti", "on", "sh", "le", "wo", "ri"]) for _ in range(rng.randint(1, 5))) for _ in range(400)]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import cut, release
+from textmill.llm.common import broadcast_checked, cut, release
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -359,6 +359,26 @@ def _label(ids: DataFrame, many: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's least; all columns stay. Of rows with equal ids one stays."""
-    gone = classes(docs, cfg).filter(~F.col("kept")).select(F.col("doc_id").alias("_d"))
-    return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+    """The rows of ``docs`` that are their component's least by id, then text hash; all columns stay. Different texts of one id are documents of their own; of rows
+    equal in id and text one stays, the least by a hash of its other columns. Rows with a null id stay."""
+    rows = docs.withColumn("_t", F.xxhash64("text"))
+    many = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    twice = cut(rows.select("doc_id", "_t").join(many, "doc_id", "left_semi").distinct(), "repeated")
+    if twice.isEmpty():
+        gone = classes(docs, cfg).filter(~F.col("kept")).select(F.col("doc_id").alias("_d"))
+        return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+    # each text of a repeated id gets a free id, beyond all others
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    named = cut(twice.select("doc_id", "_t", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_n")), "named")
+    if named.filter(F.col("_n") <= top).limit(1).count():
+        raise ValueError("no ids are free beyond the largest")
+    rows = rows.join(broadcast_checked(named, F.lit(24)), ["doc_id", "_t"], "left").withColumn("_d", F.coalesce("_n", F.col("doc_id").cast("long")))
+    of = classes(rows.select(F.col("_d").alias("doc_id"), "text"), cfg).filter("doc_id is not null").select(F.col("doc_id").alias("_n"), "component_id")
+    of = cut(of.join(named, "_n", "left").select("component_id", F.struct(F.coalesce("doc_id", "_n").alias("i"), "_t", F.col("_n").alias("d")).alias("s")), "classes")
+    first = of.groupBy("component_id").agg(F.min("s").alias("f"), F.count("*").alias("k")).filter("k > 1")
+    gone = of.join(first, "component_id").filter(F.col("s.d") != F.col("f.d")).select(F.col("s.d").alias("_d"))
+    left = rows.join(gone, "_d", "left_anti")
+    more = left.filter("_n is not null").withColumn("_h", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_z")))))
+    least = more.groupBy("_n").agg(F.min("_h").alias("_h"))
+    one = more.join(least, ["_n", "_h"], "left_semi").dropDuplicates(["_n"])
+    return left.filter("_n is null").select(docs.columns).unionByName(one.select(docs.columns))
