@@ -133,6 +133,18 @@ def test_language(spark):
     assert language.identify(docs, language.Model([], np.zeros((2, 0)))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sets_of_any_size(spark):
+    rng = random.Random(11)
+    lexicon = {"aa": ["kala", "malak", "tarak", "lakar"], "bb": ["öwen", "örten", "über", "wöten"], "cc": ["xiquo", "quixo", "zoqui", "ixoz"], "dd": ["ffej", "jeff", "pejf", "fjep"], "ee": ["gnid", "dingn", "ndigi", "igdin"]}
+    text = lambda l, n: " ".join(rng.choice(lexicon[l]) for _ in range(n))
+    rows = [(i, text(l := "abcde"[i % 5] * 2, 30), l) for i in range(100)]
+    mixed = {200: "abcd", 201: "abcde", 202: "ab", 203: "e"}
+    docs = frame(spark, rows + [(i, " ".join(text(c * 2, 100) for c in s), None) for i, s in mixed.items()])
+    got = {r["doc_id"]: r for r in language.identify(docs, language.fit(language.sample(docs))).filter("doc_id >= 200").collect()}
+    for i, s in mixed.items():
+        assert sorted(got[i]["langs"]) == [c * 2 for c in s] and abs(got[i]["score"] - 1 / len(s)) < 0.03
+
+
 def test_contamination(spark):
     rng = random.Random(6)
     items = [(1, some_text(rng, 30, 500)), (2, some_text(rng, 10, 500)), (3, "short item Here"), (4, None), (5, "?!"), (6, some_text(rng, 30, 500))]

@@ -2,7 +2,7 @@
 
 Every language is a distribution over hashed letter trigrams. A document is a sequence of words, each drawn from one of the
 document's languages; expectation-maximisation estimates the proportions from the words' trigram likelihoods, first over all
-languages, then over the 1, 2, .. largest of them. The set with the best penalised likelihood (half a log of the number of
+languages, then over the 1, 2, .. largest of them, up to all. The set with the best penalised likelihood (half a log of the number of
 words for each language beyond the first) is the document's, and its largest proportion names it.
 
 Training counts trigrams over whole texts of at most ``Config.max_train_docs`` labelled rows; Spark adds up the counts.
@@ -36,7 +36,6 @@ class Config:
     max_train_docs: int = 12_000
     bits: int = 15
     rounds: int = 8
-    max_set: int = 3
     smooth: float = 0.2
     slice_chars: int = 2_000_000
 
@@ -135,7 +134,7 @@ def infer(texts: list[str | None], model: Model, cfg: Config) -> list[tuple[str,
         penalty = 0.5 * np.log(np.diff(np.append(start, len(r))) + 1.0)
         best = np.full(m, -np.inf)
         pi = full
-        for size in range(1, min(cfg.max_set, width) + 1):
+        for size in range(1, width + 1):
             mask = np.zeros((m, width), dtype=np.float32)
             np.put_along_axis(mask, order[:, :size], 1.0, axis=1)
             if size == 1:
