@@ -284,6 +284,15 @@ def test_warc(spark):
     assert warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+def test_warc_repeated_rows(spark):
+    pages = [(1, "http://a", "one")] * 3 + [(1, "http://a", "two"), (1, "http://b", "one"), (2, "http://c", "one"), (None, "http://d", "none"), (None, "http://d", "none"), (3, "http://e", None), (3, "http://e", None)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r["page_id"], r["target_uri"], r["payload_bytes"], r["payload_digest"]) for r in got), key=key) == sorted(((i, u, len(h or ""), warc.sha1_base32((h or "").encode())) for i, u, h in pages), key=key)
+    assert len({r["capture_id"] for r in got}) == len(pages) and all(r["request"] and r["metadata"] for r in got)
+    assert sum(r["record_type"] == "response" for r in got) == len({h for _, _, h in pages})
+
+
 def test_ann(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 16)) + rng.normal(size=(6, 16))[rng.integers(0, 6, 1500)] * 2

@@ -9,8 +9,8 @@ Which record of a payload is the response is found by an aggregate over digests
 only; both sides are plain tables, so that adaptive execution splits a hot digest. A revisit names its response's record id,
 and the id holds the page id, so that nothing need be joined with a hot response.
 
-Defined results: a null payload is empty; rows that are equal in page id, url and payload are one capture; a null page id is
-kept and comes back null; of equal payloads none with a null page id is the response unless all are; a null url is written as
+Defined results: a null payload is empty; rows that are equal in page id, url and payload are captures of their own, by an
+occurrence number in their record ids; a null page id is kept and comes back null; of equal payloads none with a null page id is the response unless all are; a null url is written as
 an empty target. An empty table gives no rows. Payloads and headers of any length are read whole; a file holds at most
 ``per_file`` records.
 """
@@ -66,7 +66,18 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id, url, payload`` with digest, size, rest (a hash), kind (response or revisit) and first (page id of the response). Payloads of fewer than
     ``least`` bytes are all responses."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", digest(F.col("payload"))).withColumn("size", F.octet_length("payload").cast("long")).withColumn("rest", F.xxhash64("page_id", "url", "digest"))
+    rows = rows.withColumn("digest", digest(F.col("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
+    rest = F.xxhash64("page_id", "url", "digest")
+    # repeated ids are few: their rows are cut, so that a row has the same occurrence number wherever it is read
+    twice = cut(rows.groupBy("page_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("page_id").alias("i")), "repeated")
+    if twice.isEmpty():
+        rows = rows.withColumn("rest", rest)
+    else:
+        again = F.col("page_id").eqNullSafe(F.col("i"))
+        some = cut(rows.join(twice, again, "left_semi").withColumn("o", F.monotonically_increasing_id()), "repeated")
+        first = cut(some.groupBy(rest.alias("r")).agg(F.min("o").alias("o")), "first")
+        some = some.join(first.select(F.col("o").alias("f")), F.col("o") == F.col("f"), "left").withColumn("rest", F.when(F.col("f").isNotNull(), rest).otherwise(F.xxhash64("page_id", "url", "digest", "o")))
+        rows = rows.join(twice, again, "left_anti").withColumn("rest", rest).unionByName(some.drop("o", "f"))
     key = F.struct("page_id", "rest")
     many = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max(key).alias("top"), F.min(key).alias("low")).filter("not (top <=> low)").select("digest", "top")
     both = rows.join(cut(many, "copies"), "digest", "left")
