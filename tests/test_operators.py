@@ -97,6 +97,20 @@ def test_similar_pairs(spark, threshold):
     assert got == want and len(want) > 60
 
 
+def test_dedup_similar_chain(spark):
+    # each text is similar to its neighbours only, so that a round decides two rows
+    n, width = 70, 40
+    chars = "".join(chr(0x4E00 + i) for i in range(n * 2 + width))
+    rows = [(i, chars[2 * i : 2 * i + width]) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    kept = []
+    for i, t in rows:
+        if not any(SequenceMatcher(None, u, t).ratio() >= 0.94 for _, u in kept):
+            kept.append((i, t))
+    assert len(kept) == n // 2
+    assert sorted(tuple(r) for r in dedup.dedup_similar(df, "k", 0.94).collect()) == kept
+
+
 def test_web(spark):
     html = '<html lang="en"><head><title>T &amp; x</title><meta property="og:description" content="d"><script>bad()</script></head><body><nav>no</nav><p>Hello <b>you</b></p><a href="/a#f">l</a><a href="mailto:x@y">m</a></body></html>'
     pages = spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/a", None), (3, "http://h/b", '<a href="http://h/a">z</a>')], "page_id long, url string, html string")

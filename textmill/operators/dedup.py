@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import cut
+from textmill.llm.common import cut, release
 
 
 def dedup_documents(df: DataFrame, order: list[str], seen: DataFrame | None = None) -> DataFrame:
@@ -126,19 +126,20 @@ def similar_pairs(df: DataFrame, key: str, threshold: float = 0.95) -> DataFrame
     return found.unionByName(same).join(x, "a").join(y, "b").filter("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
 
 
-def dedup_similar(df: DataFrame, key: str, threshold: float = 0.95, rounds: int = 30) -> DataFrame:
+def dedup_similar(df: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
     """Greedy in key order: a row goes if it is similar to an earlier one that stays. The rows without an earlier undecided partner are decided in each
-    round, until none is left."""
-    pairs = similar_pairs(df, key, threshold).select("a", "b").checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else similar_pairs(df, key, threshold).select("a", "b").persist()
-    gone = None
-    for _ in range(rounds):
-        if pairs.isEmpty():
-            break
-        keep = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        out = pairs.join(keep, "a", "left_semi").select("b").distinct()
-        gone = out if gone is None else gone.unionByName(out)
-        pairs = pairs.join(keep, "a", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").join(out, "b", "left_anti").persist()
-    return df if gone is None else df.join(gone.select(F.col("b").alias(key)).distinct(), key, "left_anti")
+    round, until no pair is left; the least row of the pairs is always among them. Every round is cut."""
+    spark = df.sparkSession
+    pairs = cut(similar_pairs(df, key, threshold).select("a", "b"), "pairs")
+    schema, gone = pairs.select("b").schema, []
+    while not pairs.isEmpty():
+        keep = pairs.select("a").join(pairs.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        out = cut(pairs.join(keep, "a", "left_semi").select("b").distinct(), "gone")
+        gone.append(out._cut_path)
+        left = cut(pairs.join(out.select(F.col("b").alias("a")), "a", "left_anti").join(out, "b", "left_anti").select("a", "b"), "pairs")
+        release(pairs)
+        pairs = left
+    return df.join(spark.read.schema(schema).parquet(*gone).select(F.col("b").alias(key)).distinct(), key, "left_anti") if gone else df
 
 
 def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
