@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import cut, release
+from textmill.shared import cut, release
 
 
 def dedup_documents(df: DataFrame, order: list[str], seen: DataFrame | None = None) -> DataFrame:
