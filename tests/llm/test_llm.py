@@ -1,6 +1,5 @@
 """The operators against brute force, round trips and held-out rows, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
-import hashlib
 import random
 import re
 import textwrap
@@ -220,20 +219,22 @@ def texts():
 
 
 def test_tokens(spark, texts):
-    v = tokens.vocabulary("word_bpe_49k.json")
+    v = tokens.WordVocabulary("word_bpe_49k.json")
     assert list(v.ids(texts)) == v.encode(texts)
+    # beyond U+017F only the runs between spaces that hold such a character are left to the library
+    assert tokens.units("Don’t stop") == [" Don’t", "stop"]
     assert all(v.encode([s]) == [i] for s, i in list(v.alone.items())[:500])
     got = {r["doc_id"]: r for r in tokens.count_tokens(frame(spark, list(enumerate(texts)) + [(9999, None)])).collect()}
     assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(b) // 4 for b in v.encode(texts)]
     assert (got[9999]["n_tokens"], got[9999]["n_bytes"], got[9999]["over_limit"]) == (0, 0, False)
-    small = tokens.WordVocabulary("word_bpe_49k.json", memo=34_000)
+    small = tokens.WordVocabulary("word_bpe_49k.json", memo=700)
     assert list(small.ids(texts, run=500)) == v.encode(texts)
 
 
 def test_packing(spark, texts):
     rows = list(enumerate(texts)) + [(500, None), (501, "a b c " * 3000), (502, texts[20]), (502, texts[20])]
     got = packing.pack(frame(spark, rows), capacity=256).collect()
-    v = tokens.vocabulary("word_bpe_49k.json")
+    v = tokens.WordVocabulary("word_bpe_49k.json")
     want = []
     for i, t in rows:
         ids = v.encode([t or ""])[0] + b"\0\0\0\0"
@@ -369,4 +370,3 @@ def test_pipeline_stages(spark, tmp_path):
     out = {r["doc_id"] for r in cp.run(spark, d).collect()}
     y = dict(labels)
     assert not out & {100, 101, 102, 103} and all(y[i] == 0 for i in out) and len(out) >= 36
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"

@@ -37,7 +37,7 @@ class Config:
     bits: int = 15
     rounds: int = 8
     smooth: float = 0.2
-    slice_chars: int = 2_000_000
+    slice_chars: int = 250_000
 
 
 @dataclass

@@ -44,7 +44,7 @@ class Config:
     match: int = 16
     small: int = 8
     block: int = 512
-    slice_bytes: int = 4_000_000
+    slice_bytes: int = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

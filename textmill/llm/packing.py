@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.common import cut
-from textmill.llm.tokens import vocabulary
+from textmill.llm.tokens import proved, vocabulary
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -154,22 +154,24 @@ def places(plan: Plan, capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray,
 def pieces(docs: DataFrame, name: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and task and rank: the piece's number among those of its length that the task made."""
 
+    table = proved(name)
+
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(name)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = b"\0\0\0\0"
-        for p in it:
-            rows = []
-            for d, ids in zip(p["doc_id"], v.ids(p["text"].tolist())):
-                ids += end
-                n = len(ids) // 4
-                for k, s in enumerate(range(0, n, capacity)):
-                    part = ids[4 * s : 4 * (s + capacity)]
-                    x = len(part) // 4
-                    rows.append((d, k, s, x, zlib.crc32(part), task, seen[x]))
-                    seen[x] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        with vocabulary(name, table) as v:
+            for p in it:
+                rows = []
+                for d, ids in zip(p["doc_id"], v.ids(p["text"].tolist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for k, s in enumerate(range(0, n, capacity)):
+                        part = ids[4 * s : 4 * (s + capacity)]
+                        x = len(part) // 4
+                        rows.append((d, k, s, x, zlib.crc32(part), task, seen[x]))
+                        seen[x] += 1
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")

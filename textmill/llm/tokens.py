@@ -1,10 +1,11 @@
 """Token counts and ids of whole texts for a word-level BPE vocabulary file.
 
 A text's ids are those of its pre-tokens in order, and the cheapest step that can tell a pre-token's is taken: the whole-token
-shortcut, a table proved beforehand against the library (every vocabulary string that alone encodes to exactly one token); a
-memo of those that the task has merged; and merging for the rest, for many at once in numpy. Pre-tokens of more than 32 bytes
-go to the library, and so do whole texts with characters beyond U+017F, a special token's string, or control characters on
-which splitting differs. The memo is bounded and only saves time.
+shortcut, a table proved once against the library (every vocabulary string that alone encodes to exactly one token) and sent
+to the tasks; a memo of those that the task has merged; and merging for the rest, for many at once in numpy. Pre-tokens of
+more than 32 bytes go to the library. Where a text has characters beyond U+017F, a special token's string or control
+characters on which splitting differs, only its runs between spaces that hold one go to the library: nothing that the library
+does reaches over a space. The memo is bounded, ends with the task, and only saves time.
 
 Defined results: null and empty texts have 0 tokens; equal texts have equal counts; a text of any length is read whole.
 """
@@ -15,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +45,17 @@ def is_odd(text: str) -> bool:
     return any(x in text for x in ODD) or not text.isascii() and BEYOND.search(text) is not None
 
 
+def units(text: str) -> list[str]:
+    """What is encoded apart: pre-tokens, and with a space before them the runs between spaces that the library must take whole."""
+    if not is_odd(text):
+        return PRE_TOKENS.findall(text.lower())
+    out: list[str] = []
+    for run in text.split(" "):
+        if run:
+            out.extend([" " + run] if is_odd(run) else PRE_TOKENS.findall(run.lower()))
+    return out
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -51,9 +64,10 @@ def byte_letters() -> list[str]:
 
 
 class WordVocabulary:
-    """The file ``name``, what is proved of it, and its merges as arrays."""
+    """The file ``name``, what is proved of it, and its merges as arrays. memo: units that it remembers beside the proved ones; when it is full, those of the run
+    at hand stay. alone: what ``prove`` gave elsewhere."""
 
-    def __init__(self, name: str, memo: int = 800_000):
+    def __init__(self, name: str, memo: int = 100_000, alone: dict[str, bytes] | None = None):
         path = public_tokenizers.path(name)
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -69,7 +83,7 @@ class WordVocabulary:
         self.first = np.array([vocab[c] for c in byte_letters()] + [vocab[c + "</w>"] for c in byte_letters()], dtype=np.int32)
         a, b = np.meshgrid(self.first, self.first, indexing="ij")
         self.start = self.rank(a, b)
-        self.alone = self.prove(vocab)
+        self.alone = self.prove(vocab) if alone is None else alone
         self.memo = dict(self.alone)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -131,48 +145,80 @@ class WordVocabulary:
                 out[i] = row[:c].tobytes()
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Put pre-tokens that are new into the memo."""
-        coded = [x.encode() for x in new]
-        short = [i for i, x in enumerate(coded) if len(x) <= LONGEST]
-        self.memo.update(zip([new[i] for i in short], self.merge([coded[i] for i in short])))
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of units that are neither proved nor remembered."""
+        coded = [x.encode("utf-8", "surrogatepass") for x in new]
+        short = [i for i, x in enumerate(coded) if len(x) <= LONGEST and x[0] != 32]
+        out = dict(zip([new[i] for i in short], self.merge([coded[i] for i in short])))
         if len(short) < len(new):
-            long = [x for x, c in zip(new, coded) if len(c) > LONGEST]
-            self.memo.update(zip(long, self.encode(long)))
+            rest = [x for x in new if x not in out]
+            out.update(zip(rest, self.encode([x.removeprefix(" ") for x in rest])))
+        return out
 
-    def ids(self, texts: list[str | None], run: int = 4_000_000) -> Iterator[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit numbers."""
+    def recall(self, every: set[str]) -> dict[str, bytes]:
+        """A table that has the ids of each of ``every``."""
+        new = every.difference(self.memo)
+        if len(self.memo) + len(new) > len(self.alone) + self.room:
+            old = self.memo
+            self.memo = dict(self.alone)
+            self.memo.update((x, old[x]) for x in every.intersection(old))
+        self.memo.update(self.learn(list(new)))
+        return self.memo
+
+    def ids(self, texts: list[str | None], run: int = 1_000_000) -> Iterator[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit numbers; runs of about ``run`` characters are encoded together."""
         at = 0
         while at < len(texts):
             end, n = at, 0
             while end < len(texts) and n < run:
                 n += len(texts[end] or "")
                 end += 1
-            some = [None if is_odd(t or "") else PRE_TOKENS.findall((t or "").lower()) for t in texts[at:end]]
-            every = set().union(*(w for w in some if w)) if any(some) else set()
-            new = every.difference(self.memo)
-            if len(self.memo) + len(new) > self.room:
-                self.memo = dict(self.alone)
-                new = every.difference(self.memo)
-            self.learn(list(new))
-            get = self.memo.__getitem__
-            for t, w in zip(texts[at:end], some):
-                yield self.encode([t])[0] if w is None else b"".join(map(get, w))
+            some = [units(t or "") for t in texts[at:end]]
+            get = self.recall(set().union(*some)).__getitem__
+            for w in some:
+                yield b"".join(map(get, w))
             at = end
 
 
 @lru_cache(maxsize=2)
-def vocabulary(name: str) -> WordVocabulary:
-    """One for each Python worker."""
-    return WordVocabulary(name)
+def proved(name: str) -> tuple[str, bytes]:
+    """The whole-token table of the file, worked out once on the driver: the strings, one a line, and their ids."""
+    alone = WordVocabulary(name).alone
+    return "\n".join(alone), b"".join(alone.values())
+
+
+@contextmanager
+def vocabulary(name: str, table: tuple[str, bytes] | None = None) -> Iterator[WordVocabulary]:
+    """The vocabulary for one task. Arrays and table of the file stay with the Python worker; the memo ends with the task."""
+    v = _loaded(name, table)
+    try:
+        yield v
+    finally:
+        v.memo = dict(v.alone)
+
+
+_LOADED: dict[str, WordVocabulary] = {}
+
+
+def _loaded(name: str, table: tuple[str, bytes] | None) -> WordVocabulary:
+    if name not in _LOADED:
+        alone = None
+        if table is not None:
+            words, ids = table
+            alone = {s: ids[4 * i : 4 * i + 4] for i, s in enumerate(words.split("\n"))} if words else {}
+        _LOADED.clear()
+        _LOADED[name] = WordVocabulary(name, alone=alone)
+    return _LOADED[name]
 
 
 def token_count(text: Column, name: str) -> Column:
+    table = proved(name)
+
     @F.pandas_udf("long")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(name)
-        for texts in it:
-            yield pd.Series([len(b) // 4 for b in v.ids(texts.tolist())], dtype="int64")
+        with vocabulary(name, table) as v:
+            for texts in it:
+                yield pd.Series([len(b) // 4 for b in v.ids(texts.tolist())], dtype="int64")
 
     return of(text)
 
