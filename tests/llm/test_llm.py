@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and held-out rows, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import os
 import random
 import re
 import textwrap
@@ -116,6 +117,36 @@ def test_toxicity(spark):
     assert np.mean([got[i]["predicted"] == y[i] for i in fold]) > 0.95
     assert got[900]["predicted"] == got[901]["predicted"] == 0 and got[902]["predicted"] == 1
     assert toxicity.score(docs, toxicity.Model()).filter("predicted = 1").count() == 0
+    # both dictionaries hold text of their class, and the toxic one shortens a toxic window
+    s = toxicity.Scorer(model, toxicity.Config())
+    own = model.toxic[len(model.ordinary.rstrip(b"\0")) :]
+    assert b"scoundrel" in own and b"scoundrel" not in model.ordinary and len(model.ordinary.strip(b"\0")) > 200
+    assert s.savings("wo ri villainous le sh").tolist()[0] > 3 >= s.savings("wo ri anwo le sh").tolist()[0]
+    assert b"".join(toxicity.windows("é" * 1000 + " b", toxicity.Config())).decode().split() == ["é" * 1000, "b"]
+
+
+def test_toxicity_edges(spark):
+    rows, labels = toxic_rows(120)
+    repeated = [(700, rows[0][1]), (700, rows[0][1]), (701, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, 0.5, 7, "x") for i, t in rows + repeated], "doc_id long, text string, score double, predicted int, toxic string")
+    model = toxicity.fit(toxicity.sample(docs, frame(spark, labels, "doc_id long, toxic int")))
+    got = toxicity.score(docs, model)
+    assert sorted(got.columns) == ["doc_id", "predicted", "score", "text", "toxic"] and got.count() == 123
+    assert got.filter("doc_id in (0, 700, 701)").select("score").distinct().count() == 1 and got.filter("doc_id = 700").count() == 2
+    empty = docs.limit(0)
+    assert toxicity.score(empty, toxicity.fit(toxicity.sample(empty, frame(spark, [], "doc_id long, toxic int")))).count() == 0
+    one = toxicity.fit(toxicity.sample(docs, frame(spark, [x for x in labels if x[1] == 0], "doc_id long, toxic int")))
+    assert toxicity.score(docs, one).filter("score > 0.01").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out_fold(spark):
+    from textmill.llm.queries import op2_toxicity
+
+    d = "/root/testdata/sf0.1"
+    held = op2_toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    share = {r["toxic"]: r["p"] for r in held.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert share[1] >= 0.75 and share[0] <= 0.05
 
 
 def test_language(spark):
