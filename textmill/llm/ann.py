@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids are fitted by balanced k-means on a sample bounded by ``Config.sample``; their number follows the table, so that lists
-keep their size. Every vector goes to its nearest centroid's list and, where it lies near a boundary, to further lists whose
-centroids are at most ``1 + replicate`` times as far. A query finds centroids by best-first search in an in-memory graph of
-them and probes the lists whose centroid is at most ``1 + probe`` times as far as the nearest (distance-ratio pruning). Lists
-are searched where they lie, those with many vectors in parts; a query's partial results are its nearest of each part.
+keep their size, up to ``most_lists``; beyond, lists grow and are searched in more parts. Every vector goes to its nearest
+centroid's list and, where it lies near a boundary, to further lists whose centroids are at most ``1 + replicate`` times as
+far. A query finds centroids by best-first search in an in-memory graph of them and probes the lists whose centroid is at most
+``1 + probe`` times as far as the nearest (distance-ratio pruning). A list meets its queries in tasks of at most about ``part``
+vectors and ``query_part`` queries; a query's partial results are its nearest of each part.
 
 Nearness is the cosine in double precision of the original vectors. Defined results: vectors that are null, zero, hold a null
 or non-finite component, or have another length than most, take no part; so do null ids. Rows with equal ids are candidates
@@ -35,9 +36,10 @@ class Config:
     most_lists: int = 4096
     replicas: int = 8
     replicate: float = 0.06
-    probe: float = 0.26
+    probe: float = 0.22
     degree: int = 24
     part: int = 4096
+    query_part: int = 2048
     rounds: int = 8
 
 
@@ -130,28 +132,44 @@ def probes(q: np.ndarray, index: Index, cfg: Config) -> list[int]:
 
 
 def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, cosine) of the k nearest of each query among x, its own id left out: a matrix product chooses, sums in one fixed order give the score."""
+    """(row of q, id, cosine) of the k nearest ids of each query among x, its own left out: a matrix product chooses, sums in one fixed order give the score. A
+    repeated id has the score of its nearest vector."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    start = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     rows, out, scores = [], [], []
     for lo in range(0, len(q), 256):
         s = (q[lo : lo + 256] @ x.T) / (nq[lo : lo + 256, None] * nx[None])
         s[qid[lo : lo + 256, None] == ids[None]] = -np.inf
-        kth = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+        top = s if len(start) == len(ids) else np.maximum.reduceat(s, start, axis=1)
+        kth = np.partition(top, -k, axis=1)[:, -k][:, None] if top.shape[1] > k else np.full((len(s), 1), -np.inf)
         i, j = np.nonzero((s >= kth - 1e-9) & (s > -np.inf))
         exact = (q[lo + i] * x[j]).sum(1) / (nq[lo + i] * nx[j])
+        order = np.lexsort((-exact, ids[j], i))
+        i, j, exact = i[order], j[order], exact[order]
+        best = np.append(True, (np.diff(i) != 0) | (np.diff(ids[j]) != 0))[: len(i)]
+        i, j, exact = i[best], j[best], exact[best]
         order = np.lexsort((ids[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
         _, first, n = np.unique(i, return_index=True, return_counts=True)
-        rank = np.arange(len(i)) - np.repeat(first, n)
-        keep = rank < 2 * k  # a repeated id may take several places
+        keep = np.arange(len(i)) - np.repeat(first, n) < k
         rows.append(lo + i[keep])
         out.append(ids[j[keep]])
         scores.append(exact[keep])
     return tuple(np.concatenate(a) if a else np.zeros(0) for a in (rows, out, scores))
 
 
+def packed(vectors: pd.Series) -> np.ndarray:
+    """Vectors in one matrix; from bytes or from lists."""
+    if len(vectors) and isinstance(vectors.iloc[0], bytes):
+        return np.frombuffer(b"".join(vectors), dtype=np.float64).reshape(len(vectors), -1)
+    return np.stack(vectors.to_numpy())
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 5, cfg: Config = Config()) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each row of ``rows`` (see ``usable``) for which ``is_query`` holds."""
+    spark = rows.sparkSession
     rows = cut(rows, "vectors")
     index = fit(rows, cfg)
 
@@ -159,31 +177,40 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, cfg: Config = Config()
         for p in it:
             for lo in range(0, len(p), 2000):
                 q = p.iloc[lo : lo + 2000]
-                i, j = assign(unit(np.stack(q["v"].to_numpy())), index, cfg)
-                yield pd.DataFrame({"list": j, "vec_id": q["vec_id"].to_numpy()[i], "v": q["v"].to_numpy()[i]})
+                v = packed(q["v"])
+                i, j = assign(unit(v), index, cfg)
+                raw = np.array([r.tobytes() for r in v], dtype=object)
+                yield pd.DataFrame({"list": j, "vec_id": q["vec_id"].to_numpy()[i], "v": raw[i]})
 
     def to_probes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
             for lo in range(0, len(p), 500):
                 q = p.iloc[lo : lo + 500]
-                found = [probes(x, index, cfg) for x in unit(np.stack(q["v"].to_numpy()))]
+                v = packed(q["v"])
+                found = [probes(x, index, cfg) for x in unit(v)]
                 i = np.repeat(np.arange(len(q)), [len(f) for f in found])
-                yield pd.DataFrame({"list": [x for f in found for x in f], "query_id": q["vec_id"].to_numpy()[i], "v": q["v"].to_numpy()[i]})
-
-    lists = cut(rows.mapInPandas(to_lists, "list long, vec_id long, v array<double>"), "lists")
-    size = lists.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).cast("int").alias("parts"))  # at most ``most_lists`` rows
-    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(to_probes, "list long, query_id long, v array<double>")
-    asked = asked.join(F.broadcast(size), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "v")
-    held = lists.join(F.broadcast(size), "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int").alias("part"), "vec_id", "v")
+                raw = np.array([r.tobytes() for r in v], dtype=object)
+                yield pd.DataFrame({"list": [x for f in found for x in f], "query_id": q["vec_id"].to_numpy()[i], "v": raw[i]})
+
+    lists = cut(rows.mapInPandas(to_lists, "list long, vec_id long, v binary"), "lists")
+    wanted = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    asked = cut(wanted.mapInPandas(to_probes, "list long, query_id long, v binary"), "probes")
+    count = lambda df, by, name: df.groupBy("list").agg(F.ceil(F.count("*") / by).cast("int").alias(name))
+    parts = F.broadcast(count(lists, cfg.part, "parts").join(count(asked, cfg.query_part, "turns"), "list"))  # at most ``most_lists`` rows
+    own = lambda of, *by: F.pmod(F.xxhash64(*by), of).cast("int")
+    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    q = asked.join(parts, "list").select("list", upto("parts").alias("part"), own("turns", "query_id").alias("turn"), "query_id", "v")
+    x = lists.join(parts, "list").select("list", own("parts", "vec_id", "v").alias("part"), upto("turns").alias("turn"), "vec_id", "v")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         qid = q["query_id"].to_numpy()
-        i, ids, s = nearest(np.stack(q["v"].to_numpy()), qid, np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), k)
+        i, ids, s = nearest(packed(q["v"]), qid, packed(x["v"]), x["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": qid[i.astype(np.int64)], "vec_id": ids.astype(np.int64), "score": s})
 
-    met = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    by = ("list", "part", "turn")
+    met = q.groupBy(*by).cogroup(x.groupBy(*by)).applyInPandas(meet, "query_id long, vec_id long, score double")
     one = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
