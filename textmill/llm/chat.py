@@ -1,12 +1,14 @@
 """Chat formatting with minimum-cost role repair.
 
 Legal conversations are: an optional system turn, then user and assistant by turns, ending with the assistant. Each turn is
-kept, merged into the one before it (same role), relabelled, or preceded by an empty turn; dynamic programming over the
-automaton's states finds the repair of least total cost, ties by the order of the states. The repaired turns are rendered
-piece by piece: a conversation's pieces, joined in order, are its text.
+kept, merged into the one before it (same role), relabelled, or preceded by empty turns (between two of the same role, too);
+dynamic programming over the automaton's states finds the repair of least total cost, ties by the order of the states, and a
+merge before insertions of the same cost. The repaired turns are rendered piece by piece: a conversation's pieces, joined in
+order, are its text.
 
-Conversations are cut into segments where a sort by range cuts them, so one of any length is spread over tasks. A segment's
-costs from each state to each state are a small matrix; per conversation the matrices, not the turns, are combined.
+Conversations are cut into segments of at most ``Config.segment`` turns, and where a sort by range cuts them, so one of any
+length is spread over tasks. A segment's costs from each state to each state are a small matrix; per conversation the
+matrices, not the turns, are combined.
 
 Defined results: turns are ordered by turn, then role and text, nulls first; a null or unknown role must be relabelled; a null
 text is empty; equal rows are separate turns; a null conv_id is a conversation of its own; no rows give no rows.
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import cut
+from textmill.llm.common import cut, release
 
 ROLES = ("system", "user", "assistant")
 #: State 0 is the start; state i + 1 is after a turn of ROLES[i]. What may follow what:
@@ -34,13 +36,14 @@ class Config:
     merge: int = 1
     relabel: int = 2
     insert: int = 3
+    segment: int = 4096
     begin: str = "<|im_start|>{role}\n"
     end: str = "<|im_end|>\n"
     join: str = "\n"
 
 
 def fills(a: int, b: int) -> tuple[int, ...] | None:
-    """The fewest states to pass from a to b by inserted turns; None if there are none. A step within a state is a merge, not a way."""
+    """The fewest states to pass from a to b by inserted turns, of a new turn if a is b; None if there are none."""
     if b in NEXT[a]:
         return ()
     ways = [(a, ())]
@@ -62,13 +65,18 @@ def costs(role: str | None, cfg: Config) -> np.ndarray:
     for b in range(1, 4):
         own = 0 if role == ROLES[b - 1] else cfg.relabel
         for a in range(4):
-            if a == b:
-                out[a, b] = own + cfg.merge
-            elif STEPS[a, b] is not None:
+            if STEPS[a, b] is not None:
                 out[a, b] = own + cfg.insert * len(STEPS[a, b])
+            if a == b:
+                out[a, b] = min(out[a, b], own + cfg.merge)
     return out
 
 
+def merges(a: int, b: int, cfg: Config) -> bool:
+    """Whether a turn that leads from a to b joins the one before it."""
+    return a == b and (STEPS[a, b] is None or cfg.merge <= cfg.insert * len(STEPS[a, b]))
+
+
 def segment_matrix(roles: list[str | None], cfg: Config) -> np.ndarray:
     """Least cost from each state before the turns to each after them."""
     total = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
@@ -111,8 +119,9 @@ def pieces(roles: list[str | None], texts: list[str | None], states: list[int],
     out = []
     at = start
     for i, (r, t, s) in enumerate(zip(roles, texts, states)):
-        filled = () if s == at else STEPS[at, s]
-        if s == at:
+        joined = merges(at, s, cfg)
+        filled = () if joined else STEPS[at, s]
+        if joined:
             text = cfg.join + (t or "")
         else:
             text = (cfg.end if at else "") + empty(filled) + cfg.begin.format(role=name(s)) + (t or "")
@@ -120,7 +129,7 @@ def pieces(roles: list[str | None], texts: list[str | None], states: list[int],
         if last and i == len(roles) - 1:
             after = LAST[s]
             text += cfg.end + empty(after)
-        action = "merge" if s == at else "keep"
+        action = "merge" if joined else "keep"
         if r != name(s):
             action = "relabel" if action == "keep" else "relabel,merge"
         out.append({"new_role": name(s), "action": action, "inserted_before": [name(x) for x in filled], "inserted_after": [name(x) for x in after], "rendered": text})
@@ -132,10 +141,14 @@ def format_chats(turns: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Per turn of ``turns`` (conv_id, turn, role, text): conv_id, turn, pos (order in the conversation), role, new_role, action, inserted_before,
     inserted_after and rendered."""
     rows = turns.select("conv_id", "turn", "role", F.col("text"))
-    ordered = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    made = cut(ordered.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "turns")
+    # the row's place lets a range cut between equal rows
+    placed = cut(rows.withColumn("at", F.monotonically_increasing_id()), "placed")
+    ordered = placed.repartitionByRange("conv_id", "turn", "role", "text", "at").sortWithinPartitions("conv_id", "turn", "role", "text", "at").drop("at")
+    made = cut(ordered.withColumn("pos", F.monotonically_increasing_id()), "turns")
+    release(placed)
+    made = made.withColumn("part", F.expr(f"pos div {cfg.segment}"))  # of places that go on within a partition, so of one partition each
     turn = F.struct("pos", "turn", "role", "text")
-    segs = made.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("t"))  # at most what a range partition holds
+    segs = made.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("t"))  # at most ``segment`` turns
 
     @F.pandas_udf("array<long>")
     def matrix(roles: pd.Series) -> pd.Series:
