@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from textmill.llm.licenses import PHRASES, TEMPLATES
+from textmill.llm.licenses import PHRASES, TEMPLATES, run_length
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,7 +37,7 @@ def _templates() -> str:
     rows = []
     for label, t in TEMPLATES:
         toks = sorted(set(t.split()))
-        rows.append(f"('{label}', [{', '.join(repr(x) for x in toks)}], {math.ceil(0.8 * len(toks) - 1e-9)})")
+        rows.append(f"('{label}', [{', '.join(repr(x) for x in toks)}], {math.ceil(0.8 * len(toks) - 1e-9)}, {run_length(t)})")
     return ", ".join(rows)
 
 
@@ -45,9 +45,9 @@ _BASE = ", ".join(f"CASE WHEN len({_places(p)}) > 0 THEN '{x}' END" for p, x in
 LICENSES = f"""
 WITH d AS (SELECT doc_id, text, {words('text')} AS w FROM documents),
   p AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_concat({', '.join(_places(p) for p in PHRASES)}) AS pl, list_sort(list_distinct(list_filter([{_BASE}], lambda x: x IS NOT NULL))) AS base FROM d),
-  t AS (SELECT * FROM (VALUES {_templates()}) AS v(label, toks, need)),
-  l AS (SELECT doc_id, list_distinct({words('line')}) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-  m AS (SELECT doc_id, label, len(list_intersect(b, toks)) / len(toks) AS c FROM l, t WHERE len(list_intersect(b, toks)) >= need),
+  t AS (SELECT * FROM (VALUES {_templates()}) AS v(label, toks, need, length)),
+  r AS (SELECT doc_id, label, toks, need, w, length, unnest(range(1, greatest(len(w) - length, 0) + 2)) AS i FROM d, t WHERE len(list_intersect(w, toks)) >= need),
+  m AS (SELECT doc_id, label, n / len(toks) AS c FROM (SELECT doc_id, label, toks, need, len(list_intersect(w[i:i + length - 1], toks)) AS n FROM r) WHERE n >= need),
   f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
 SELECT p.doc_id, n_words, len(pl)::BIGINT AS n_base, list_min(pl) - 1 AS first_word, list_max(pl) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels, CASE WHEN len(pl) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
