@@ -2,8 +2,9 @@
 
 A capture is a request, a response (or a revisit of an earlier response with the same payload) and a metadata record that
 name the response in WARC-Concurrent-To. Archives are written by Spark's text sink with CRLF CRLF between records, which is
-how the format ends a record, so they lie wherever Spark can write. Reading takes the files of a folder, parses records by
-their Content-Length, and joins them through the concurrent-to identifiers into one nested row for each capture.
+how the format ends a record, so they lie wherever Spark can write. Reading streams the files of a folder, in parts between
+CRLF CRLF from which records are put together by their Content-Length, and joins these through the concurrent-to identifiers
+into one nested row for each capture.
 
 Which record of a payload is the response is found by an aggregate over digests and a join with those of several captures
 only; both sides are plain tables, so that adaptive execution splits a hot digest. A revisit names its response's record id,
@@ -12,17 +13,17 @@ and the id holds the page id, so that nothing need be joined with a hot response
 Defined results: a null payload is empty; rows that are equal in page id, url and payload are captures of their own, by an
 occurrence number in their record ids; a null page id is kept and comes back null; of equal payloads none with a null page id is the response unless all are; a null url is written as
 an empty target. An empty table gives no rows. Payloads and headers of any length are read whole; a file holds at most
-``per_file`` records.
+``per_file`` records, and is never held whole. Malformed or cut-off records are rows with an error, in no capture.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ from textmill.llm.common import cut, shared_dir
 CRLF = "\r\n"
 RECORD = (
     "record_id string, type string, concurrent_to string, target_uri string, refers_to string, payload_digest string, "
-    "date string, content_type string, http_length long, payload binary, fields map<string,string>"
+    "date string, content_type string, http_length long, payload binary, fields map<string,string>, error string"
 )
 
 
@@ -114,65 +115,99 @@ def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 20_000, d
     records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive, gzipped or not; a record that is cut off ends it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
-            k, _, v = line.partition(":")
-            fields[k.strip().lower()] = v.strip()
-        n = int(fields.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + n]
-        at = end + 4 + n
-        kind = fields.get("warc-type", "")
-        payload, length = block, None
-        if fields.get("content-type", "").startswith("application/http"):
-            top, sep, body = block.partition(b"\r\n\r\n")
-            payload = body if sep else b""
-            m = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", top)
-            length = int(m[1]) if m else None
-        info = {}
-        if kind == "metadata" and "warc-fields" in fields.get("content-type", ""):
-            for line in block.decode("utf-8", "replace").split(CRLF):
-                k, sep, v = line.partition(":")
-                if sep:
-                    info[k.strip()] = v.strip()
-        yield {
-            "record_id": fields.get("warc-record-id"), "type": kind, "concurrent_to": fields.get("warc-concurrent-to"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
-            "payload_digest": fields.get("warc-payload-digest"), "date": fields.get("warc-date"), "content_type": fields.get("content-type"), "http_length": length, "payload": payload, "fields": info,
-        }
+def fields_of(head: bytes) -> dict[str, str]:
+    out = {}
+    for line in head.decode("utf-8", "replace").split(CRLF)[1:]:
+        k, _, v = line.partition(":")
+        out[k.strip().lower()] = v.strip()
+    return out
+
+
+def record_of(fields: dict[str, str], block: bytes, error: str | None = None) -> dict:
+    """A row of ``RECORD``."""
+    kind, typ = fields.get("warc-type", ""), fields.get("content-type", "")
+    payload, length = block, None
+    if typ.startswith("application/http"):
+        top, sep, body = block.partition(b"\r\n\r\n")
+        payload = body if sep else b""
+        m = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", top)
+        length = int(m[1]) if m else None
+    info = {}
+    if kind == "metadata" and "warc-fields" in typ:
+        for line in block.decode("utf-8", "replace").split(CRLF):
+            k, sep, v = line.partition(":")
+            if sep:
+                info[k.strip()] = v.strip()
+    return {
+        "record_id": fields.get("warc-record-id"), "type": kind, "concurrent_to": fields.get("warc-concurrent-to"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
+        "payload_digest": fields.get("warc-payload-digest"), "date": fields.get("warc-date"), "content_type": fields.get("content-type"), "http_length": length, "payload": payload, "fields": info, "error": error,
+    }
+
+
+def records(parts: Iterator[tuple[int, bytes]]) -> Iterator[dict]:
+    """The records of archives from their parts between CRLF CRLF, each with its file's number. What is no record, or one whose block does not end where its
+    Content-Length says, becomes a row with an error; reading goes on at the next part that begins a record."""
+    end = b"\r\n\r\n"
+    fields: dict[str, str] | None = None
+    pending: list[bytes] = []
+    size = want = 0
+    file = None
+    for f, part in chain(parts, [(None, b"")]):
+        if f != file:
+            if fields is not None:
+                yield record_of(fields, b"".join(pending).removesuffix(end), "cut off")
+            fields, pending, size, file = None, [], 0, f
+        pending += [part, end]
+        size += len(part) + 4
+        while True:
+            if fields is None:
+                head, sep, rest = b"".join(pending).lstrip(b"\r\n").partition(end)
+                if not sep:
+                    pending, size = [head], len(head)
+                    break
+                pending, size = [rest], len(rest)
+                if not head.startswith(b"WARC/"):
+                    yield record_of({}, head, "no record")
+                    continue
+                fields = fields_of(head)
+                n = fields.get("content-length", "")
+                if not (n.isascii() and n.isdigit()):
+                    yield record_of(fields, b"", "no valid Content-Length")
+                    fields = None
+                    continue
+                want = int(n)
+            if size < want + 4:
+                break
+            data = b"".join(pending)
+            whole = data.startswith(end, want)
+            yield record_of(fields, data[:want], None if whole else "longer than Content-Length")
+            rest = data[want + 4 :] if whole else data[want:]
+            fields, pending, size = None, [rest], len(rest)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in ``path``."""
+    """The records of all archives in ``path``, gzipped or not, read as streams: a task holds no more than a batch of parts and one record."""
 
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", RECORD).split(",")]
-        for p in it:
-            for data in p["content"]:
+        some, n = [], 0
+        for r in records((f, bytes(x)) for p in it for f, x in zip(p["file"].tolist(), p["part"])):
+            some.append(r)
+            n += len(r["payload"])
+            if n > 4_000_000 or len(some) >= 2000:
+                yield pd.DataFrame(some, columns=cols).astype({"http_length": "Int64"})
                 some, n = [], 0
-                for r in parse(data):
-                    some.append(r)
-                    n += len(r["payload"])
-                    if n > 4_000_000 or len(some) >= 2000:
-                        yield pd.DataFrame(some, columns=cols).astype({"http_length": "Int64"})
-                        some, n = [], 0
-                if some:
-                    yield pd.DataFrame(some, columns=cols).astype({"http_length": "Int64"})
+        if some:
+            yield pd.DataFrame(some, columns=cols).astype({"http_length": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(of, RECORD)
+    parts = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
+    return parts.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("part")).mapInPandas(of, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row for each response or revisit: capture_id, the record's own columns, and request and metadata as structs (null where there is none)."""
-    main = records.filter("type in ('response', 'revisit')").withColumnRenamed("record_id", "capture_id").drop("concurrent_to", "fields")
+    """Of the records without an error one row for each response or revisit: capture_id, the record's own columns, and request and metadata as structs (null where there is none)."""
+    records = records.filter("error is null")
+    main = records.filter("type in ('response', 'revisit')").withColumnRenamed("record_id", "capture_id").drop("concurrent_to", "fields", "error")
     side = lambda kind, name: (
         records.filter(F.col("type") == kind).filter("concurrent_to is not null")
         .select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "date", "target_uri", "payload", "fields").alias(name))
