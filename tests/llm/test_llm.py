@@ -62,6 +62,59 @@ def test_neardup(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in ids}
 
 
+def test_neardup_large_group(spark):
+    """Production sizes of postings and blocks: 2,000 near copies, and 800 that share a part with them; links by SQL over all pairs."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(8)
+    base = some_text(rng, 50, 5000).split()
+    rows = []
+    for i in range(2800):
+        w = list(base)
+        if i >= 2000:
+            w[20 + i % 10 :] = some_text(random.Random(i // 3), 30, 50_000).split()
+        w[rng.randrange(20)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(frame(spark, rows)).select("doc_id", "component_id").collect()}
+    s = pd.DataFrame([(i, " ".join(x)) for i, t in rows for w in [t.split()] for x in {tuple(w[k : k + 3]) for k in range(len(w) - 2)}], columns=["i", "x"])
+    links = duckdb.sql("""WITH n AS (SELECT i, count(*) AS n FROM s GROUP BY i), p AS (SELECT a.i AS i, b.i AS j, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.i < b.i GROUP BY 1, 2)
+      SELECT p.i, j FROM p JOIN n ON n.i = p.i JOIN n m ON m.i = j WHERE 100 * c >= 85 * (n.n + m.n - c)""").fetchall()
+    comp = list(range(2800))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, j in sorted(links):
+        if (a := root(i)) != (b := root(j)):
+            comp[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(2800)} and len(set(got.values())) > 100
+
+
+def test_neardup_divided(spark):
+    """Blocks so small that postings are divided again and again."""
+    rng = random.Random(21)
+    base = some_text(rng, 40, 5000).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 9, 12, 15])):
+            w[rng.randrange(40)] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    cfg = neardup.Config(small=3, block=4, wide=4, shingle=1, percent=80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(frame(spark, rows), cfg).collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    comp = dict(zip(sets, sets))
+    for _ in range(30):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == comp
+
+
 def test_neardup_empty(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
@@ -210,10 +263,27 @@ def test_licenses(spark):
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (2, 1, 5, "mit")
     assert (got[2]["n_words"], got[3]["n_words"], got[2]["labels"], got[2]["score"]) == (0, 0, "", 0.0)
     assert (got[4]["base_labels"], got[4]["labels"]) == ("", "gpl") and got[5]["base_labels"] == "cc-by-nc" and got[6]["labels"] == "" and got[7]["n_base"] == 3000
-    # every block that contains enough of a template is found
-    hit = {r["doc_id"] for r in licenses.template_labels(frame(spark, rows)).collect()}
-    want = {i for i, t in rows for line in low(t or "").split("\n") for _, x in licenses.TEMPLATES if len(set(x.split()) & set(words(line))) >= 0.8 * len(set(x.split())) - 1e-9}
-    assert hit == want
+    # words of a statement that stand apart, in any order, are none
+    apart = [w for x in random.Random(4).sample(licenses.TEMPLATES[9][1].split(), 70) for w in (x, "fill", "more", "words")]
+    assert license_labels(spark, [(1, " ".join(apart))]) == brute_labels([(1, " ".join(apart))]) == set()
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def license_labels(spark, rows):
+    docs = frame(spark, rows).select("doc_id", "text")
+    return {(r["doc_id"], tuple(r["labels"]), round(r["containment"], 9)) for r in licenses.template_labels(docs, licenses.scanned(docs, licenses.PHRASES, licenses.TEMPLATES)).collect()}
+
+
+def brute_labels(rows):
+    out = set()
+    for i, t in rows:
+        w, c = words(t), []
+        for label, x in licenses.TEMPLATES:
+            n, own = len(x.split()) + -(-len(x.split()) // 4), set(x.split())
+            c.append((label, max(len(own & set(w[k : k + n])) for k in range(max(len(w) - n, 0) + 1)) / len(own)))
+        if c := [(label, v) for label, v in c if v >= 0.8 - 1e-9]:
+            out.add((i, tuple(sorted({label for label, _ in c})), round(max(v for _, v in c), 9)))
+    return out
 
 
 def test_licenses_wrapped(spark):
@@ -224,22 +294,18 @@ def test_licenses_wrapped(spark):
         for j, (width, mark) in enumerate([(70, ""), (70, "# "), (30, " * ")]):
             rows.append((i := 10 * k + j, fill(3) + "\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n" + fill(300 * (j == 0))))
             want[i] = label
-    rows.append((900, "\n".join(x + "\n" + fill(4) for x in licenses.TEMPLATES[6][1].split())))  # its words far apart
+    rows.append((900, "\n".join(x + "\n" + fill(4) for x in licenses.TEMPLATES[8][1].split())))  # its words far apart
     rows.append((901, "Permission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software and associated documentation files"))
-    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for k in range(60):  # parts of templates, some over the threshold and some under
+        x = rng.choice(licenses.TEMPLATES)[1].split()
+        rows.append((1000 + k, some_text(rng, 20) + " " + " ".join(w if rng.random() < 0.85 else "zz" for w in x) + " " + some_text(rng, 20)))
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows + rows[:1])).collect()}
     assert all(want[i] in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i in want)
     assert (got[900]["labels"], got[900]["score"]) == ("", 0.0) and (got[901]["labels"], got[901]["score"]) == ("mit", 1.0)
-    # brute force over lines and runs
-    length = max(len(t.split()) for _, t in licenses.TEMPLATES)
-    hit = {(r["doc_id"], tuple(r["labels"]), round(r["containment"], 9)) for r in licenses.template_labels(frame(spark, rows)).collect()}
-    brute = set()
-    for i, t in rows:
-        w = words(t)
-        blocks = [set(words(x)) for x in low(t).split("\n")] + [set(w[k : k + length]) for k in range(max(len(w) - length, 0) + 1)]
-        c = {(label, max(len(set(x.split()) & b) / len(set(x.split())) for b in blocks)) for label, x in licenses.TEMPLATES}
-        if c := {(label, v) for label, v in c if v >= 0.8 - 1e-9}:
-            brute.add((i, tuple(sorted({label for label, _ in c})), round(max(v for _, v in c), 9)))
-    assert hit == brute
+    assert license_labels(spark, rows) == brute_labels(rows)
+    clash = frame(spark, rows[:3]).withColumn("labels", F.lit(1)).withColumn("_t", F.lit(2)).withColumn("hits", F.lit(3)).withColumn("n_words", F.lit(4))
+    assert sorted(map(str, licenses.scan(clash).collect())) == sorted(map(str, licenses.scan(frame(spark, rows[:3])).collect()))
+    assert licenses.scan(frame(spark, [rows[0], rows[0], (None, rows[3][1])])).count() == 3
 
 
 @pytest.fixture(scope="module")
@@ -325,6 +391,29 @@ def test_warc_repeated_rows(spark):
     assert sum(r["record_type"] == "response" for r in got) == len({h for _, _, h in pages})
 
 
+def test_warc_malformed(spark, tmp_path):
+    import gzip
+
+    rec = lambda rid, body, n=None: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: " + rid + b"\r\nContent-Length: " + (b"%d" % len(body) if n is None else n) + b"\r\n\r\n" + body
+    end = b"\r\n\r\n"
+    files = {
+        "a.gz": [gzip.compress(rec(b"<1>", b"x\r\n\r\n\r\ny\r\n\r\n") + end + rec(b"<2>", b"") + end), gzip.compress(rec(b"<3>", b"abc", b"x") + end + rec(b"<4>", b"ok") + end)],
+        "b.gz": [gzip.compress(b"junk" + end + rec(b"<5>", b"good\r\n\r") + end + rec(b"<6>", b"abc", b"10"))],
+        "c.gz": [gzip.compress(rec(b"<7>", b"toolong", b"3") + end + rec(b"<8>", b"") + end)],
+    }
+    for name, members in files.items():
+        (tmp_path / name).write_bytes(b"".join(members))
+    got = {r["record_id"]: (bytes(r["payload"]), r["error"]) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if v[1] is None} == {"<1>": (b"x\r\n\r\n\r\ny\r\n\r\n", None), "<2>": (b"", None), "<4>": (b"ok", None), "<5>": (b"good\r\n\r", None), "<8>": (b"", None)}
+    assert {k: v[1] for k, v in got.items() if v[1]} == {"<3>": "no valid Content-Length", None: "no record", "<6>": "cut off", "<7>": "longer than Content-Length"}
+
+
+def test_warc_edges(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "x", 5)], "page_id long, url string, html string, payload string, digest long")
+    assert [r["page_id"] for r in warc.round_trip(pages).collect()] == [1]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_ann(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 16)) + rng.normal(size=(6, 16))[rng.integers(0, 6, 1500)] * 2
@@ -351,31 +440,60 @@ def test_ann(spark):
     assert ann.search(ann.usable(spark.createDataFrame([], "vec_id long, embedding array<float>")), F.col("vec_id") == 0).count() == 0
 
 
-def brute(roles, cfg):
-    import itertools
-
-    best = None
-    for out in itertools.product((1, 2, 3), repeat=len(roles)):
-        c, s = 0, 0
-        for r, o in zip(roles, out):
-            if o != s and chat.STEPS[s, o] is None:
-                break
-            c += (0 if r == chat.ROLES[o - 1] else cfg.relabel) + (cfg.merge if o == s else cfg.insert * len(chat.STEPS[s, o]))
-            s = o
-        else:
-            c += cfg.insert * len(chat.LAST[s])
-            best = c if best is None else min(best, c)
-    return best
+def test_ann_repeated_and_split(spark):
+    """Repeated ids near a query cost no results; all lists probed and small parts give brute force exactly."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(160, 8)).astype(np.float32)
+    x[1:12] = x[0] + 0.001 * rng.normal(size=(11, 8))
+    rows = [(50, x[0])] + [(1, x[1])] * 6 + [(1, x[2])] * 6 + [(i, x[i]) for i in range(3, 160) if i != 50] + [(100, x[100])] * 3
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0.5, 1) for i, r in rows], "vec_id long, embedding array<float>, score double, rank int")
+    cfg = ann.Config(list_size=20, probe=9.0, part=16, query_part=1)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in ann.search(ann.usable(df), F.col("vec_id") % 50 == 0, 5, cfg).collect())
+    want = []
+    for q in (50, 100, 150):
+        qv = min(tuple(map(float, r)) for i, r in rows if i == q)
+        best = {}
+        for i, r in rows:
+            if i != q:
+                v = np.array(r, dtype=float)
+                c = float((np.array(qv) * v).sum() / (np.sqrt((np.array(qv) ** 2).sum()) * np.sqrt((v * v).sum())))
+                best[i] = max(best.get(i, -9), c)
+        want += [(q, n + 1, i, round(c, 12)) for n, (i, c) in enumerate(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5])]
+    assert got == sorted(want)
 
 
-def test_chat(spark):
-    cfg = chat.Config()
+def brute(roles, cfg):
+    """Least cost of a legal conversation, by a search over single edits: independent of the operator's tables."""
+    import heapq
+
+    legal = {"": "su", "s": "u", "u": "a", "a": "u"}
+    heap, done = [(0, 0, "")], set()
+    while heap:
+        cost, i, at = heapq.heappop(heap)
+        if (i, at) in done:
+            continue
+        done.add((i, at))
+        if i == len(roles) and at == "a":
+            return cost
+        for r in legal[at]:  # an empty turn
+            heapq.heappush(heap, (cost + cfg.insert, i, r))
+        if i < len(roles):
+            for r in "sua":
+                own = cost + (0 if roles[i] == {"s": "system", "u": "user", "a": "assistant"}[r] else cfg.relabel)
+                if r in legal[at]:
+                    heapq.heappush(heap, (own, i + 1, r))
+                if r == at:
+                    heapq.heappush(heap, (own + cfg.merge, i + 1, r))
+
+
+@pytest.mark.parametrize("cfg", [chat.Config(), chat.Config(merge=5, relabel=5, insert=1), chat.Config(segment=2), chat.Config(merge=4, relabel=3, insert=2, segment=3)])
+def test_chat(spark, cfg):
     rng = random.Random(10)
     rows = []
     for c in range(40):
         rows += [(c, t, rng.choice(["system", "user", "assistant", "tool", None]), rng.choice(["hi", "", None])) for t in range(rng.randint(1, 6))]
     rows += [(99, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(400)] + [(None, 0, "user", "q")]
-    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), cfg).collect()
     assert len(got) == len(rows)
     for c in {r[0] for r in rows}:
         mine = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["pos"])
@@ -389,6 +507,15 @@ def test_chat(spark):
         assert re.fullmatch(r"(s)?(ua)+", "".join(x[0] for x in order)) and text.count("<|im_end|>") == len(order)
 
 
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "a", "x")] * 5 + [(2, 0, None, None, "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos string")
+    got = chat.format_chats(turns, chat.Config(segment=2)).orderBy("conv_id", "pos").collect()
+    assert len(got) == 6 and [r["action"] for r in got] == ["keep", "merge", "merge", "merge", "relabel", "relabel"]
+    assert "".join(r["rendered"] for r in got[:5]) == "<|im_start|>user\na\na\na\na<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -88,5 +88,5 @@ def mark(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns kept."""
-    found = hits(docs, items, span, k).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_x"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_x")), "left_anti")
+    found = hits(docs, items, span, k).select("doc_id", "_t").alias("hit")
+    return docs.alias("own").join(found, F.col("own.doc_id").eqNullSafe(F.col("hit.doc_id")) & (F.xxhash64("own.text") == F.col("hit._t")), "left_anti")

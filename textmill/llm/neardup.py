@@ -8,6 +8,10 @@ merged, only looked up for pairs that have met (skip). Pairs that reach ``match`
 A posting with many documents is not expanded into pairs. First every document meets the leaders of its postings; what the
 confirmed links connect is one component. Then only documents outside their posting's largest component meet the others of
 it, in blocks, so that each link between components is still found; links inside a component add nothing and are skipped.
+Where many documents are outside, the posting is first divided by a second coordinate (and a third, ..): a pair with ``match``
+equal coordinates shares two of the K - match + 2 rarest, so that the divided postings lose no pair either.
+
+Pairs are confirmed on sets of 64-bit shingle hashes; two different shingles of a text pair are equal by chance in 2^-64.
 
 Defined results: a document without words has the empty set and is linked with nothing; one with fewer words than a shingle
 has the whole sequence as its shingle; rows with equal ids are one document whose set is that of the first text in binary
@@ -36,7 +40,8 @@ P = np.uint64(0x9E3779B97F4A7C15 | 1)
 @dataclass(frozen=True)
 class Config:
     """shingle: words; percent: 100 * intersection >= percent * union; coords: K; match: collisions that a pair needs. With K = 32 a pair at 85 %
-    has under 16 collisions with a chance of about 2e-7."""
+    has under 16 collisions with a chance of about 2e-7. small: documents of a posting that is expanded into pairs; block: documents of a block; wide: blocks of
+    documents outside the largest component beyond which a posting is divided: then its blocks have more rows than its parts, at most K - match + 1 times its own."""
 
     shingle: int = 3
     percent: int = 85
@@ -44,6 +49,7 @@ class Config:
     match: int = 16
     small: int = 8
     block: int = 512
+    wide: int = 16
     slice_bytes: int = 500_000
 
 
@@ -169,8 +175,9 @@ def sets_of(docs: DataFrame, cfg: Config) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, f1 long, set binary, half binary")
 
 
-def postings(reps: DataFrame, cfg: Config) -> DataFrame:
-    """key, doc, n, sig of the prefix postings with at least two documents, and c, the number of the posting's documents."""
+def postings(reps: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """key, doc, n, sig of the prefix postings with at least two documents, and c, the number of the posting's documents; and by document p, its keys that meet
+    others, the rarest first, and alone, the number of its keys that meet nobody."""
 
     def spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
@@ -185,11 +192,11 @@ def postings(reps: DataFrame, cfg: Config) -> DataFrame:
     often = cut(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
     # a posting that meets nobody still fills a place of the prefix: it is among the rarest
     mine = every.join(often, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("p"))
-    alone = cfg.coords - F.size("p")
-    mine = mine.withColumn("p", F.slice("p", 1, F.greatest(F.lit(cfg.coords - cfg.match + 1) - alone, F.lit(0)))).filter(F.size("p") > 0)
-    pre = mine.select("doc", F.explode("p").alias("p")).select("doc", "p.key")
+    order = cut(mine.select("doc", F.col("p.key").alias("p"), (cfg.coords - F.size("p")).alias("alone")), "order")
+    release(often)
+    pre = order.select("doc", F.explode(F.slice("p", 1, F.greatest(F.lit(cfg.coords - cfg.match + 1) - F.col("alone"), F.lit(0)))).alias("key"))
     size = pre.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    return pre.join(size, "key").join(reps.select("doc", "n", "sig"), "doc")
+    return pre.join(size, "key").join(reps.select("doc", "n", "sig"), "doc"), order
 
 
 def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,15 +234,42 @@ def meet_leaders(posts: DataFrame, cfg: Config) -> DataFrame:
     return pairs.filter(equal("sig", "s") >= cfg.match).select("a", "b")
 
 
-def meet_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
+def divided(large: DataFrame, order: DataFrame, cfg: Config) -> list[tuple[DataFrame, bool]]:
+    """Rows key, doc, comp, top, all, most of postings that hold several components, and whether they are still the first ones. large: key, doc, comp. Those with
+    more than ``wide`` blocks of documents outside their largest component are divided by one more coordinate, until there are none or the coordinates suffice."""
+    out = []
+    most = cfg.wide * cfg.block
+    level = 1
+    rows = large
+    while True:
+        parts = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
+        top = cut(parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.count("*").alias("comps"), F.sum("k").alias("all")).filter("comps > 1"), "largest")
+        wide = top.filter(F.col("all") - F.col("most") > most)
+        last = level >= cfg.match or wide.isEmpty()
+        out.append((rows.join(top if last else top.filter(F.col("all") - F.col("most") <= most), "key"), level == 1))
+        if last:
+            return out
+        level += 1
+        some = rows.join(wide.select("key"), "key", "left_semi").join(order, "doc")
+        if level == 2:
+            some = some.withColumn("at", F.array_position("p", F.col("key")).cast("int"))
+        # a pair meets at its first shared coordinates, of which all but the last ones are behind in the order
+        here = F.greatest(F.lit(cfg.coords - cfg.match + level) - F.col("alone") - F.col("at"), F.lit(0))
+        some = some.select("key", "doc", "comp", "at", F.posexplode(F.slice("p", F.col("at") + 1, here)).alias("i", "b"))
+        rows = cut(some.select(F.xxhash64("key", "b").alias("key"), "doc", "comp", (F.col("at") + F.col("i") + 1).alias("at")), "divided")
+
+
+def meet_rest(posts: DataFrame, order: DataFrame, comp: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
     """Distinct pairs (a < b) in large postings whose components differ, with enough collisions and sets that are similar by 32 bits of each hash, which
-    never lose a similar pair. comp: doc, comp. A pair is looked at in the least posting that it shares."""
-    large = posts.filter(F.col("c") > cfg.small).join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    parts = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    top = parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.count("*").alias("comps"), F.sum("k").alias("all")).filter("comps > 1")
-    rows = large.join(cut(top, "largest"), "key").drop("c")
-    keys = cut(rows.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("keys")), "keys")  # at most a prefix each
-    rows = rows.join(keys, "doc").join(sets.select(F.col("doc_id").alias("doc"), "half"), "doc")
+    never lose a similar pair. comp: doc, comp. A pair is looked at in the least undivided posting that it shares, and in divided ones."""
+    large = posts.filter(F.col("c") > cfg.small).select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    every = [(cut(rows.select("key", "doc", "comp", "top", "all", "most"), "rest"), first) for rows, first in divided(large, order, cfg)]
+    keys = cut(every[0][0].groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("keys")), "keys")  # at most a prefix each
+    rows = every[0][0].join(keys, "doc")
+    for more, _ in every[1:]:
+        rows = rows.unionByName(more.withColumn("keys", F.array("key")))
+    sig = posts.filter(F.col("c") > cfg.small).select("doc", "n", "sig").dropDuplicates(["doc"])
+    rows = rows.join(sig, "doc").join(sets.select(F.col("doc_id").alias("doc"), "half"), "doc")
     rows = rows.withColumn("blocks", F.ceil(F.col("all") / cfg.block).cast("int")).withColumn("rounds", F.ceil((F.col("all") - F.col("most")) / cfg.block).cast("int"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rounds")).cast("int")
@@ -307,11 +341,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(similar("sa", "sb")).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """doc and comp, the least document that links (a, b) connect it with; large star and small star by turns, each cut, until nothing moves."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         hub = cut(least, "hubs")
@@ -335,16 +369,17 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     sig = cut(signed(docs, cfg), "signatures")
     ids = sig.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sig")).alias("s")).select("doc_id", "s.*")
     reps = cut(ids.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("k")), "classes")
-    posts = cut(postings(reps, cfg), "postings")
+    posts, order = postings(reps, cfg)
+    posts = cut(posts, "postings")
     near = cut(meet_leaders(posts, cfg), "pairs")
     wanted = reps.join(near.select(F.col("a").alias("doc")).union(near.select("b")).union(posts.filter(F.col("c") > cfg.small).select("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "f1")
     sets = cut(sets_of(docs.join(wanted, "doc_id", "left_semi"), cfg).join(wanted, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set", "half"), "sets")
     links = cut(confirm(near, sets, cfg), "links")
     comp = components(links)
-    rest = cut(meet_rest(posts, comp, sets, cfg), "pairs")
+    rest = cut(meet_rest(posts, order, comp, sets, cfg), "pairs")
     if rest.limit(1).count():
         comp = components(links.unionByName(confirm(rest, sets, cfg)))
-    release(near, rest, posts, sets)
+    release(near, rest, posts, order, sets)
     of = reps.join(comp, "doc", "left").select("f1", "f2", "n", F.coalesce("comp", "doc").alias("comp"), "k")
     many = cut(of.filter("k > 1").select("f1", "f2", "n", "comp"), "copies")
     one = reps.filter("k = 1").select("doc").join(comp, "doc")
@@ -361,24 +396,24 @@ def _label(ids: DataFrame, many: DataFrame, one: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that are their component's least by id, then text hash; all columns stay. Different texts of one id are documents of their own; of rows
     equal in id and text one stays, the least by a hash of its other columns. Rows with a null id stay."""
-    rows = docs.withColumn("_t", F.xxhash64("text"))
+    rows = docs.withColumn("_kept_t", F.xxhash64("text"))
     many = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
-    twice = cut(rows.select("doc_id", "_t").join(many, "doc_id", "left_semi").distinct(), "repeated")
+    twice = cut(rows.select("doc_id", "_kept_t").join(many, "doc_id", "left_semi").distinct(), "repeated")
     if twice.isEmpty():
-        gone = classes(docs, cfg).filter(~F.col("kept")).select(F.col("doc_id").alias("_d"))
-        return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+        gone = classes(docs, cfg).filter(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     # each text of a repeated id gets a free id, beyond all others
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
-    named = cut(twice.select("doc_id", "_t", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_n")), "named")
-    if named.filter(F.col("_n") <= top).limit(1).count():
+    named = cut(twice.select("doc_id", "_kept_t", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_kept_n")), "named")
+    if named.filter(F.col("_kept_n") <= top).limit(1).count():
         raise ValueError("no ids are free beyond the largest")
-    rows = rows.join(broadcast_checked(named, F.lit(24)), ["doc_id", "_t"], "left").withColumn("_d", F.coalesce("_n", F.col("doc_id").cast("long")))
-    of = classes(rows.select(F.col("_d").alias("doc_id"), "text"), cfg).filter("doc_id is not null").select(F.col("doc_id").alias("_n"), "component_id")
-    of = cut(of.join(named, "_n", "left").select("component_id", F.struct(F.coalesce("doc_id", "_n").alias("i"), "_t", F.col("_n").alias("d")).alias("s")), "classes")
+    rows = rows.join(broadcast_checked(named, F.lit(24)), ["doc_id", "_kept_t"], "left").withColumn("_kept_d", F.coalesce("_kept_n", F.col("doc_id").cast("long")))
+    of = classes(rows.select(F.col("_kept_d").alias("doc_id"), "text"), cfg).filter("doc_id is not null").select(F.col("doc_id").alias("_kept_n"), "component_id")
+    of = cut(of.join(named, "_kept_n", "left").select("component_id", F.struct(F.coalesce("doc_id", "_kept_n").alias("i"), "_kept_t", F.col("_kept_n").alias("d")).alias("s")), "classes")
     first = of.groupBy("component_id").agg(F.min("s").alias("f"), F.count("*").alias("k")).filter("k > 1")
-    gone = of.join(first, "component_id").filter(F.col("s.d") != F.col("f.d")).select(F.col("s.d").alias("_d"))
-    left = rows.join(gone, "_d", "left_anti")
-    more = left.filter("_n is not null").withColumn("_h", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_z")))))
-    least = more.groupBy("_n").agg(F.min("_h").alias("_h"))
-    one = more.join(least, ["_n", "_h"], "left_semi").dropDuplicates(["_n"])
-    return left.filter("_n is null").select(docs.columns).unionByName(one.select(docs.columns))
+    gone = of.join(first, "component_id").filter(F.col("s.d") != F.col("f.d")).select(F.col("s.d").alias("_kept_d"))
+    left = rows.join(gone, "_kept_d", "left_anti")
+    more = left.filter("_kept_n is not null").withColumn("_kept_h", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_kept_z")))))
+    least = more.groupBy("_kept_n").agg(F.min("_kept_h").alias("_kept_h"))
+    one = more.join(least, ["_kept_n", "_kept_h"], "left_semi").dropDuplicates(["_kept_n"])
+    return left.filter("_kept_n is null").select(docs.columns).unionByName(one.select(docs.columns))
