@@ -1,7 +1,9 @@
 """Golden values and restatements of the operators on small inputs."""
 
+import hashlib
 import io
 import random
+import re
 import zipfile
 from difflib import SequenceMatcher
 
@@ -37,6 +39,36 @@ def test_redact(spark):
     assert r("Server IP: 192.168.1.1", method="remove") == "Server IP: "
     assert r("mail a@b.org", method="hash").startswith("mail [EMAIL_") and len(r("mail a@b.org", method="hash")) == len("mail [EMAIL_12345678]")
     assert r("code X1", custom=[(r"X\d", "$1")]) == "code $1"
+    # a match is hashed where it stands, not where its letters stand inside others
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()[:8]
+    assert r("id 5551234567 and ref 95551234567 or 555-123-4567", method="hash") == f"id [PHONE_{h('5551234567')}] and ref 95551234567 or [PHONE_{h('555-123-4567')}]"
+    assert r(None, method="hash") == "" and r("x", method="hash", custom=[("x", "[R]")]) == "[R]"
+    with pytest.raises(ValueError):
+        clean.redact(F.col("text"), "other")
+
+
+def test_redact_entities(spark):
+    names = lambda texts: [[(m.start(), m.end(), "PERSON") for m in re.finditer("Ann|Bob Lee|Bob", t)] for t in texts]
+    df = spark.createDataFrame([(1, "Ann met Bob Lee."), (2, None)], "id long, text string")
+    one = lambda **k: [r["text"] for r in clean.redact_entities(df, names, **k).orderBy("id").collect()]
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()[:8]
+    assert one() == ["[PERSON] met [PERSON].", ""] and one(method="remove") == [" met .", ""]
+    assert one(method="hash") == [f"[PERSON_{h('Ann')}] met [PERSON_{h('Bob Lee')}].", ""]
+
+
+def test_clean_chunks_and_options(spark):
+    df = spark.createDataFrame([(1, "ﬁne <b>x</b>", ["<i>ﬁ</i>  y", None])], "id long, text string, c array<string>").withColumn("chunks", F.transform("c", lambda x: F.struct(x.alias("text"), F.lit(1).alias("k"))))
+    r = clean.clean_documents(df).first()
+    assert r["text"] == "fine x" and [(c["text"], c["k"]) for c in r["chunks"]] == [("fi y", 1), ("", 1)]
+    r = clean.clean_documents(df, clean.CleanConfig(fix_unicode=False)).first()
+    assert r["text"] == "ﬁne x" and r["chunks"][0]["text"] == "ﬁ y"
+    assert one(spark, "Hello! @#$ World?", clean.clean(F.col("text"), clean.CleanConfig(remove_special_chars=True, lowercase=True))) == "hello world"
+
+
+def test_dedup_keeps_one_null(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a"), (5, "")], "doc_id long, text string")
+    assert {r["doc_id"] for r in dedup.dedup_documents(df, ["doc_id"]).collect()} == {1, 2, 5}
+    assert {r["doc_id"] for r in dedup.dedup_documents(df, ["doc_id"], dedup.seen_hashes(df.filter("doc_id < 3"))).collect()} == {5}
 
 
 def test_basic_quality(spark):
@@ -46,7 +78,36 @@ def test_basic_quality(spark):
     }
     got = {r["text"]: r["quality_score"] for r in quality.score(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
     assert {k: round(float(v), 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
-    assert {k: round(quality.basic_score(k), 6) for k in want} == {k: round(v, 6) for k, v in want.items()}
+    assert quality.basic_score(None) == (0.0, 0.0)
+
+
+def test_repetition():
+    """Against the definition, word by word."""
+
+    def plain(t):
+        w = t.lower().split()
+        return 0.0 if len(w) < 10 else sum(" ".join(w[i : i + 3]) in " ".join(w[i + 3 :]) for i in range(len(w) - 6)) / max(len(w) - 3, 1)
+
+    rng = random.Random(5)
+    for n, letters in ((0, "a"), (9, "ab"), (12, "a"), (60, "ab"), (200, "abc"), (300, "ab")):
+        for _ in range(20):
+            t = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(n))
+            assert quality.repetition(t) == plain(t)
+    assert quality.repetition(" ".join(f"w{i % 7919}" for i in range(120_000))) > 0.9
+
+
+def test_language_and_chunk_filters(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "der Hund und die Katze"), (3, "zzz qqq"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["x"] for r in df.select("doc_id", quality.detect_language(F.col("text")).alias("x")).collect()}
+    assert got == {1: "en", 2: "de", 3: "unknown", 4: "unknown"}
+    good = " ".join(f"word{i}" for i in range(50)) + "."
+    rows = spark.createDataFrame([(1, good, [good, "bad"]), (2, "bad", [good]), (3, good, None)], "doc_id long, text string, c array<string>").withColumn("chunks", F.transform("c", lambda x: F.struct(x.alias("text")))).drop("c")
+    out = {r["doc_id"]: r["chunks"] for r in quality.quality_filter(rows, 0.9).collect()}
+    assert set(out) == {1, 3} and [c["text"] for c in out[1]] == [good] and out[3] is None
+    assert quality.quality_filter(rows.drop("chunks"), 0.0, scorer="semantic").count() == 3
+    assert {r["doc_id"] for r in quality.quality_filter(df, 0.0, ["de"]).collect()} == {2}
+    with pytest.raises(ValueError):
+        quality.quality_filter(df, scorer="other")
 
 
 def test_chunk_counts(spark):

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 from textmill.operators.semantic_quality import clamp, hits, per
@@ -115,3 +121,87 @@ def screen(df: DataFrame) -> DataFrame:
     out = evaluate(out, {k: v for k, v in f.items() if k not in late})
     out = evaluate(out, {**{k: f[k] for k in late}, "contradiction_score": "contradictions / greatest(size(_s), 1)"})
     return evaluate(out, {**review(), "issues": issues(SPARK)})
+
+
+# Words that contradict each other, and the flag of documents that a person should look at.
+OPPOSITES = [("true", "false"), ("correct", "incorrect"), ("right", "wrong"), ("possible", "impossible"), ("can", "cannot"), ("is", "is not"), ("are", "are not"), ("always", "never"), ("all", "none"), ("increase", "decrease"), ("rise", "fall")]
+REVIEW_FLAG = "adversarial_review_required"
+
+
+def severities(d: Spark) -> dict[str, str]:
+    """From the columns of ``bias``: high, medium or low for each type that is found, else null."""
+    return {f"{k}_severity": f"CASE WHEN {k} > 0.7 THEN 'high' WHEN {k} > 0.4 THEN 'medium' WHEN {k} > 0 THEN 'low' END" for k in BIAS}
+
+
+def shares(d: Spark) -> dict[str, str]:
+    """The share of each group among the mentions of its kind; null where none is mentioned."""
+    out = {}
+    for g, ps in GROUPS.items():
+        c = {k: d.cnt("_l", p) for k, p in ps.items()}
+        total = f"({' + '.join(c.values())})"
+        out |= {f"{g}_{k}": f"CASE WHEN {total} > 0 THEN {x} / ({total} * 1.0) END" for k, x in c.items()}
+    return out
+
+
+def indicators(df: DataFrame, kinds: dict[str, tuple] | None = None, around: int = 50) -> DataFrame:
+    """doc_id, kind, match, start, end and context, a row for each match of the patterns (by kind: (weight, patterns); those of bias and harm) in the lower-cased
+    texts of ``df`` (doc_id, text), with ``around`` characters on either side. Spark's functions give no places of matches, so this runs in Arrow batches."""
+    patterns = [(kind, re.compile(p)) for kind, (_, ps) in (kinds or {**BIAS, **HARM}).items() for p in ps]
+
+    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = []
+            for d, text in zip(p["doc_id"], p["text"]):
+                low = (text or "").lower()
+                for kind, pattern in patterns:
+                    rows += [(d, kind, m.group(), m.start(), m.end(), text[max(m.start() - around, 0) : m.end() + around]) for m in pattern.finditer(low)]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "match", "start", "end", "context"])
+
+    return df.select("doc_id", "text").mapInPandas(of, "doc_id long, kind string, match string, start int, end int, context string")
+
+
+def opposed_pairs(df: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, least: int = 15, below: float = 0.5) -> DataFrame:
+    """doc_id, first, second and similarity: pairs of a text's sentences (of more than ``least`` characters) of which one has a word and the other its opposite;
+    with ``embed`` only those whose vectors have a cosine under ``below``. Sentences are indexed by the words that they have, and only such pairs are made."""
+
+    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = []
+            for d, text in zip(p["doc_id"], p["text"]):
+                s = [x for part in re.split(r"[.!?]+", text or "") if len(x := part.strip()) > least]
+                low = [x.lower() for x in s]
+                pairs = set()
+                for a, b in OPPOSITES:
+                    with_a, with_b = ([i for i, x in enumerate(low) if w in x] for w in (a, b))
+                    pairs |= {(min(i, j), max(i, j)) for i in with_a for j in with_b if i != j}
+                if not pairs:
+                    continue
+                if embed is None:
+                    rows += [(d, i, j, None) for i, j in sorted(pairs)]
+                    continue
+                v = np.asarray(embed(s), dtype=float)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                rows += [(d, i, j, c) for i, j in sorted(pairs) if (c := float(v[i] @ v[j])) < below]
+            yield pd.DataFrame(rows, columns=["doc_id", "first", "second", "similarity"])
+
+    return df.select("doc_id", "text").mapInPandas(of, "doc_id long, first int, second int, similarity double")
+
+
+def classify_windows(df: DataFrame, classify: Callable[[list[str]], list[float]], size: int = 500, step: int = 400, most: int | None = None) -> DataFrame:
+    """doc_id, toxicity (the largest of the windows' scores) and windows: a plugged-in classifier over windows of ``size`` characters, all of them if ``most`` is None."""
+
+    @F.pandas_udf("toxicity double, windows int")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in it:
+            rows = []
+            for t in s:
+                w = [(t or "")[i : i + size] for i in range(0, max(len(t or ""), 1), step)][:most]
+                rows.append((max(map(float, classify(w))), len(w)))
+            yield pd.DataFrame(rows, columns=["toxicity", "windows"])
+
+    return df.select("doc_id", of(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
+def flags() -> str:
+    """From requires_review: the list of flags that goes with a document."""
+    return f"CASE WHEN requires_review THEN '{REVIEW_FLAG}' ELSE '' END"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,23 +52,34 @@ def _windows(w: Column, size: int, step: int, min_chars: int, every: bool) -> Co
     return F.filter(F.transform(starts, one), lambda c: F.length(c["text"]) >= min_chars)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def _pack(parts: Column, size: int, sep: str, min_chars: int) -> Column:
-    """Greedy: parts are joined while their words stay within ``size``; only the last chunk can be too short to keep."""
-    empty = F.array().cast("array<struct<text:string,parts:int,word_count:int>>")
-    start = F.struct(empty.alias("o"), F.array().cast("array<string>").alias("c"), F.lit(0).alias("n"))
-    chunk = lambda a: F.struct(F.array_join(a["c"], sep).alias("text"), F.size(a["c"]).alias("parts"), a["n"].alias("word_count"))
-
-    def step(a: Column, x: Column) -> Column:
-        k = F.size(words(x))
-        full = (a["n"] + k > size) & (F.size(a["c"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(a["o"], F.array(chunk(a)))).otherwise(a["o"]).alias("o"),
-            F.when(full, F.array(x)).otherwise(F.concat(a["c"], F.array(x))).alias("c"),
-            F.when(full, k).otherwise(a["n"] + k).alias("n"),
-        )
+    """Greedy: parts are joined while their words stay within ``size``; only the last chunk can be too short to keep. The fold goes over word counts and carries
+    only where chunks begin."""
+
+    def begins(counts: Column) -> Column:
+        start = F.struct(F.array(F.lit(0)).alias("o"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+        def step(a: Column, k: Column) -> Column:
+            full = (a["n"] + k > size) & (a["i"] > F.element_at(a["o"], -1))
+            return F.struct(F.when(full, F.concat(a["o"], F.array(a["i"]))).otherwise(a["o"]).alias("o"), F.when(full, k).otherwise(a["n"] + k).alias("n"), (a["i"] + 1).alias("i"))
+
+        return F.aggregate(counts, start, step, lambda a: a["o"])
 
-    done = lambda a: F.when((F.size(a["c"]) > 0) & (F.length(F.array_join(a["c"], sep)) >= min_chars), F.concat(a["o"], F.array(chunk(a)))).otherwise(a["o"])
-    return F.aggregate(parts, start, step, done)
+    def chunks(p: Column, counts: Column, b: Column) -> Column:
+        def one(at: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(b, i + 1), F.size(p))
+            words_in = F.aggregate(F.slice(counts, at + 1, end - at), F.lit(0), lambda s, x: s + x)
+            return F.struct(F.array_join(F.slice(p, at + 1, end - at), sep).alias("text"), (end - at).alias("parts"), words_in.alias("word_count"), (end < F.size(p)).alias("more"))
+
+        made = F.filter(F.transform(b, one), lambda c: c["more"] | (F.length(c["text"]) >= min_chars))
+        return F.transform(made, lambda c: F.struct(c["text"].alias("text"), c["parts"].alias("parts"), c["word_count"].alias("word_count")))
+
+    return let(parts, lambda p: let(F.transform(p, lambda x: F.size(words(x))), lambda k: let(begins(k), lambda b: chunks(p, k, b))))
 
 
 def sentences(text: Column, size: int, min_chars: int = 100) -> Column:
@@ -112,8 +122,10 @@ def rule_sections(text: Column, min_words: int = 25) -> Column:
 
 
 def chunk(df: DataFrame, strategy: str = "sliding_window", size: int = 512, overlap: int = 50, min_chars: int = 100) -> DataFrame:
-    """``df`` with the array column chunks; an unknown strategy is the sliding window."""
+    """``df`` with the array column chunks; an unknown strategy is the sliding window, with a warning."""
     t = F.col("text")
+    if strategy not in ("semantic", "sentence", "paragraph", "sections", "fixed", "sliding_window"):
+        warnings.warn(f"unknown chunking strategy {strategy}: sliding_window is used", stacklevel=2)
     if strategy == "semantic":
         return df.withColumn("chunks", rule_sections(t))
     by_parts = {"sentence": sentences, "paragraph": paragraphs, "sections": sections}
@@ -130,36 +142,19 @@ def explode_chunks(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.posexplode_outer("chunks").alias("chunk_ix", "c")).filter("chunk_ix is not null").select(key, "chunk_ix", "c.*")
 
 
-def semantic_boundaries(df: DataFrame, embed: Callable[[list[str]], np.ndarray], target: int = 512, least: int = 100, most: int = 1024) -> DataFrame:
-    """doc_id, chunk_ix, text, coherence: sentences are cut where the cosine of neighbours is a local minimum or under its mean less its deviation, within
-    the bounds in words; ``embed`` gives a vector for each sentence."""
-    import re
-
-    def cosines(v: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(v, axis=1)
-        return (v[:-1] * v[1:]).sum(1) / np.maximum(n[:-1] * n[1:], 1e-12)
-
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            rows = []
-            for d, t in zip(p["doc_id"], p["text"]):
-                s = [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", t or "") if x.strip()]
-                if not s:
-                    continue
-                c = cosines(np.asarray(embed(s))) if len(s) > 1 else np.zeros(0)
-                low = c.mean() - c.std() if len(c) else 0.0
-                begin, n = 0, 0
-                k = 0
-                for i, x in enumerate(s):
-                    n += len(x.split())
-                    end = i == len(s) - 1
-                    if not end:
-                        dip = 0 < i < len(c) - 1 and c[i] < c[i - 1] and c[i] < c[i + 1]
-                        end = (dip or c[i] < low) and least <= n <= most or n >= target
-                    if end:
-                        own = c[begin:i]
-                        rows.append((d, k, " ".join(s[begin : i + 1]), float(own.mean()) if len(own) else 1.0))
-                        begin, n, k = i + 1, 0, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_ix", "text", "coherence"])
-
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id long, chunk_ix int, text string, coherence double")
+def udtf_chunks(size: int = 512, overlap: int = 50, min_chars: int = 100) -> type:
+    """A table function of a text, for SQL: ``spark.udtf.register("chunks", udtf_chunks())``, then ``SELECT * FROM t, LATERAL chunks(t.text)``; rows are those of
+    ``sliding``."""
+    if overlap >= size:
+        raise ValueError("overlap must be less than size")
+
+    @F.udtf(returnType="text string, start_index int, end_index int, word_count int")
+    class Chunks:
+        def eval(self, text: str):  # noqa: ANN201
+            w = (text or "").split()
+            for i in range(0, max(len(w) - overlap, 1), size - overlap):
+                t = " ".join(w[i : i + size])
+                if w and len(t) >= min_chars:
+                    yield t, i, min(i + size, len(w)), min(size, len(w) - i)
+
+    return Chunks

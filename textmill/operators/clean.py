@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,22 +28,36 @@ class CleanConfig:
     remove_html: bool = True
     remove_urls: bool = True
     remove_emails: bool = True
-    fix_unicode: bool = False
+    fix_unicode: bool = True
     remove_special_chars: bool = False
     remove_extra_whitespace: bool = True
     preserve_newlines: bool = False
 
 
+def _nfkc(x: str | None) -> str | None:
+    return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which Spark has no function for."""
 
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        return s.map(_nfkc)
 
     return of(text)
 
 
+def nfkc_all(texts: Column) -> Column:
+    """The same of an array of texts."""
+
+    @F.pandas_udf("array<string>")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: None if xs is None else [_nfkc(x) for x in xs])
+
+    return of(texts)
+
+
 def clean(text: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     """A null is the empty text."""
     t = F.coalesce(text, F.lit(""))
@@ -67,16 +83,20 @@ def clean(text: Column, cfg: CleanConfig = CleanConfig()) -> Column:
 def clean_documents(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """The text and, where there are chunks, each chunk's text."""
     out = df.withColumn("text", clean(F.col("text"), cfg))
-    if "chunks" in df.columns and not cfg.fix_unicode:
-        out = out.withColumn("chunks", F.transform("chunks", lambda c: c.withField("text", clean(c["text"], cfg))))
-    return out
+    if "chunks" not in df.columns:
+        return out
+    if not cfg.fix_unicode:
+        return out.withColumn("chunks", F.transform("chunks", lambda c: c.withField("text", clean(c["text"], cfg))))
+    rest = replace(cfg, fix_unicode=False)
+    out = out.withColumn("_texts", nfkc_all(F.transform("chunks", lambda c: c["text"])))
+    return out.withColumn("chunks", F.transform("chunks", lambda c, i: c.withField("text", clean(F.get("_texts", i), rest)))).drop("_texts")
 
 
 def hash_matches(text: Column, pattern: str, kind: str) -> Column:
-    """Each match becomes [KIND_ and 8 hex digits of its SHA-256]; longer matches first, so that none is replaced inside another."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    ordered = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(ordered, text, lambda t, m: F.replace(t, m, F.concat(F.lit(f"[{kind}_"), F.substring(F.sha2(m.cast("binary"), 256), 1, 8), F.lit("]"))))
+    """Each match becomes [KIND_ and 8 hex digits of its SHA-256], where it stands: the parts between matches and the matches, in turn."""
+    to = lambda m: F.concat(F.lit(f"[{kind}_"), F.substring(F.sha2(m.cast("binary"), 256), 1, 8), F.lit("]"))
+    parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(p, F.coalesce(to(m), F.lit("")))), "")
 
 
 def redact(text: Column, method: str = "mask", custom: list[tuple[str, str]] | None = None) -> Column:
@@ -92,5 +112,29 @@ def redact(text: Column, method: str = "mask", custom: list[tuple[str, str]] | N
     return t
 
 
+def redact_entities(df: DataFrame, recognise: Callable[[list[str]], list[list[tuple[int, int, str]]]], method: str = "mask", col: str = "text") -> DataFrame:
+    """``df`` with the entities of a plugged-in recogniser redacted: mask and remove as ``redact``, hash [KIND_digest]. recognise: of a batch of texts the
+    (start, end, kind)s of each; of overlapping ones the first, then the longest, counts. A null text is empty."""
+    if method not in ("mask", "remove", "hash"):
+        raise ValueError(f"unknown redaction method {method}")
+
+    def one(text: str, found: list[tuple[int, int, str]]) -> str:
+        out, at = [], 0
+        for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+            if a >= at and b > a:
+                digest = "_" + hashlib.sha256(text[a:b].encode()).hexdigest()[:8] if method == "hash" else ""
+                out += [text[at:a], "" if method == "remove" else f"[{kind}{digest}]"]
+                at = b
+        return "".join([*out, text[at:]])
+
+    @F.pandas_udf("string")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            texts = [x or "" for x in s]
+            yield pd.Series([one(t, e) for t, e in zip(texts, recognise(texts))], dtype=object)
+
+    return df.withColumn(col, of(F.col(col)))
+
+
 def pii_counts(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit("(?U)" + p)).alias(k.lower()) for k, p in PII.items()]

@@ -8,16 +8,21 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.shared import cut, release
 
 
+def text_key() -> Column:
+    """MD5 of the text; of a null one a word that is none."""
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+
+
 def dedup_documents(df: DataFrame, order: list[str], seen: DataFrame | None = None) -> DataFrame:
-    """The first row of each text in the given order. Hash and order go through the window, and a text that many rows share is first cut to one
-    row for each part, so that no task gets them all. ``seen`` (column md5): texts of earlier runs that go."""
-    rows = df.withColumn("_md5", F.md5(F.col("text").cast("binary")))
+    """The first row of each text in the given order; null texts are one text, another than the empty one. Hash and order go through the aggregate, and a text
+    that many rows share is first cut to one row for each part, so that no task gets them all. ``seen`` (column md5): texts of earlier runs that go."""
+    rows = df.withColumn("_md5", text_key())
     if seen is not None:
         rows = rows.join(seen.select(F.col("md5").alias("_md5")), "_md5", "left_anti")
     first = rows.groupBy("_md5").agg(F.min(F.struct(*order)).alias("_first"))  # partial minima: one row for each task and text is shuffled
@@ -31,7 +36,7 @@ def dedup_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 def seen_hashes(df: DataFrame) -> DataFrame:
     """What a later run passes as ``seen``."""
-    return df.select(F.md5(F.col("text").cast("binary")).alias("md5")).distinct()
+    return df.select(text_key().alias("md5")).distinct()
 
 
 def reach(n: np.ndarray, threshold: float) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.dialect import SPARK, Spark, doubles
+from textmill.functions.dialect import SPARK, Spark, doubles, prepare
 
 # The patterns and words below define what is extracted.
 CONCEPTS = [r"\b[A-Z]{2,}\b", r"\b\w+-\w+(?:-\w+)*\b", r"\b\w+(?:ology|ometry|ics|tion|sion)\b"]
@@ -39,21 +43,84 @@ def facts(prepared: DataFrame) -> DataFrame:
     return s.select("doc_id", "statement", "confidence", F.expr(fact_type(SPARK, "_x")).alias("fact_type"))
 
 
-def entities(df: DataFrame) -> DataFrame:
-    """doc_id, ix, text and label of capitalised word sequences, each text once; a stand-in where no recogniser is plugged in."""
-    found = F.expr(r'array_distinct(regexp_extract_all(text, r"(?U)\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+\b", 0))')
-    return df.select("doc_id", F.posexplode(found).alias("ix", "entity")).withColumn("label", F.lit("MISC"))
+#: What labels mean, and the parts of a name that tell a property (label, property, parts; of one label the first that is met).
+ENTITY_TYPES = {"PERSON": "person", "ORG": "organization", "GPE": "location", "LOC": "location", "DATE": "temporal", "TIME": "temporal", "MONEY": "monetary", "PERCENT": "percentage", "CARDINAL": "number", "ORDINAL": "number"}
+CANONICAL = ["PERSON", "ORG", "GPE"]
+PROPERTIES = [("PERSON", "has_title", ["dr", "prof", "president", "ceo"]), ("ORG", "company", ["company", "corp", "inc", "ltd"]), ("ORG", "educational", ["university", "college", "school"])]
+Recogniser = Callable[[list[str]], list[list[tuple[str, str, float]]]]
 
 
-def merge_entities(found: DataFrame) -> DataFrame:
-    """Of rows (doc_id, ix, text, label, confidence) one for each lower-cased text and label: the first's text, the largest confidence."""
-    return found.groupBy("doc_id", F.lower("text").alias("_key"), "label").agg(F.min_by("text", "ix").alias("text"), F.max("confidence").alias("confidence"), F.min("ix").alias("ix")).drop("_key")
+def entities(df: DataFrame, recognise: Recogniser | None = None) -> DataFrame:
+    """doc_id, ix, entity, label and confidence. recognise: of a batch of texts the (text, label, confidence)s of each; without one capitalised word sequences,
+    each text once, stand in."""
+    if recognise is None:
+        found = F.expr(r'array_distinct(regexp_extract_all(text, r"(?U)\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+\b", 0))')
+        return df.select("doc_id", F.posexplode(found).alias("ix", "entity")).select("doc_id", "ix", "entity", F.lit("MISC").alias("label"), F.lit(0.5).alias("confidence"))
+
+    @F.pandas_udf("array<struct<entity:string,label:string,confidence:double>>")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield pd.Series([[{"entity": e, "label": k, "confidence": float(c)} for e, k, c in found] for found in recognise([x or "" for x in s])])
 
+    return df.select("doc_id", F.posexplode(of(F.col("text"))).alias("ix", "e")).select("doc_id", "ix", "e.*")
 
-def cooccurrence(prepared: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, subject, object: pairs of a document's entities (earlier first) that one of its sentences holds, a row for each sentence."""
-    s = prepared.select("doc_id", F.posexplode("_p").alias("s", "sentence"))
-    at = s.join(found.select("doc_id", "ix", "entity"), "doc_id").filter(F.contains(F.lower("sentence"), F.lower("entity")))
-    a, b = at.alias("a"), at.alias("b")
-    both = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.ix") < F.col("b.ix")))
-    return both.select(F.col("a.doc_id").alias("doc_id"), F.col("a.s").alias("sentence_ix"), F.col("a.entity").alias("subject"), F.col("b.entity").alias("object"))
+
+def merge_entities(found: DataFrame) -> DataFrame:
+    """Of rows (doc_id, ix, entity, label, confidence) one for each lower-cased text and label: the first's text and place, the largest confidence."""
+    one = found.groupBy("doc_id", F.lower("entity").alias("_key"), "label").agg(F.min(F.struct("ix", "entity")).alias("f"), F.max("confidence").alias("confidence"))
+    return one.select("doc_id", "f.ix", "f.entity", "label", "confidence")
+
+
+def title_case(text: Column) -> Column:
+    """Upper case for a letter that follows none, lower case for the others."""
+    letters = F.split(F.lower(text), "")
+    before = lambda i: F.when(i == 0, F.lit(" ")).otherwise(F.get(letters, i - 1))
+    return F.array_join(F.transform(letters, lambda c, i: F.when(before(i).rlike(r"\p{L}"), c).otherwise(F.upper(c))), "")
+
+
+def analyse_entities(found: DataFrame) -> DataFrame:
+    """``found`` (entity, label) with canonical_form, entity_type and the array properties."""
+    low = F.lower("entity")
+    any_of = lambda parts: F.greatest(*[F.contains(low, F.lit(x)) for x in parts])
+    has: dict[str, Column] = {}
+    for label, name, parts in PROPERTIES:
+        own = F.when(any_of(parts), F.array(F.lit(name)))
+        has[label] = F.coalesce(has[label], own) if label in has else own
+    none = F.array().cast("array<string>")
+    props = F.coalesce(*[F.when(F.col("label") == k, c) for k, c in has.items()], none)
+    kinds = F.create_map(*[F.lit(x) for kv in ENTITY_TYPES.items() for x in kv])
+    form = F.when(F.col("label").isin(CANONICAL), title_case(F.col("entity"))).otherwise(F.col("entity"))
+    return found.withColumns({"canonical_form": form, "entity_type": F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit("other")), "properties": props})
+
+
+def cooccurrence(prepared: DataFrame, found: DataFrame, predicate: str = "co_occurs_with", confidence: float = 0.3) -> DataFrame:
+    """doc_id, sentence_ix, subject, predicate, object and confidence: pairs of a document's entities (earlier first) whose texts one of its sentences holds, a row
+    for each sentence. A sentence's entities are gathered before they are paired."""
+    s = prepared.select("doc_id", F.posexplode("_p").alias("sentence_ix", "sentence"))
+    own = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", "entity"))).alias("es"))
+    at = s.join(own, "doc_id").select("doc_id", "sentence_ix", F.filter("es", lambda e: F.contains(F.col("sentence"), e["entity"])).alias("es")).filter("size(es) > 1")
+    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a["entity"].alias("subject"), b["entity"].alias("object")))))
+    out = at.select("doc_id", "sentence_ix", F.explode(pairs).alias("r"))
+    return out.select("doc_id", "sentence_ix", "r.subject", F.lit(predicate).alias("predicate"), "r.object", F.lit(confidence).alias("confidence"))
+
+
+def graph_confidence(kinds: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """doc_id and confidence_score of each document: the mean, over the kinds of rows (doc_id, confidence) that it has, of their mean confidence; 0.5 without any."""
+    means = [k.groupBy("doc_id").agg(F.avg("confidence").alias("m")) for k in kinds]
+    both = reduce(DataFrame.unionByName, means).groupBy("doc_id").agg(F.avg("m").alias("m"))
+    return docs.select("doc_id").join(both, "doc_id", "left").select("doc_id", F.coalesce("m", F.lit(0.5)).alias("confidence_score"))
+
+
+def knowledge_graph(df: DataFrame, recognise: Recogniser | None = None) -> DataFrame:
+    """doc_id, entities, relations, concepts, facts (arrays of structs) and confidence_score of each row of ``df`` (doc_id, text; ids are unique). Facts carry the
+    entities and relations whose texts their statement holds."""
+    text = prepare(df.select("doc_id", "text"))
+    ents = analyse_entities(merge_entities(entities(df, recognise)))
+    rels, cons, fs = cooccurrence(text, ents), concepts(df), facts(text)
+    out = graph_confidence([ents.select("doc_id", "confidence"), rels.select("doc_id", "confidence"), fs.select("doc_id", "confidence")], df)
+    for name, rows, cols in (("entities", ents, ["ix", "entity", "label", "confidence", "canonical_form", "entity_type", "properties"]), ("relations", rels, ["sentence_ix", "subject", "predicate", "object", "confidence"]), ("concepts", cons, ["pattern", "term"]), ("facts", fs, ["statement", "confidence", "fact_type"])):
+        own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+        empty = own.schema[name].dataType
+        out = out.join(own, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(empty)))
+    held = lambda f, x: F.contains(F.lower(f["statement"]), F.lower(x))
+    return out.withColumn("facts", F.transform("facts", lambda f: f.withField("entities", F.transform(F.filter("entities", lambda e: held(f, e["entity"])), lambda e: e["entity"])).withField("relations", F.filter("relations", lambda r: held(f, r["subject"]) & held(f, r["object"])))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from textmill.functions.dialect import Spark
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 from textmill.operators.semantic_quality import avg_word_length, hits, per, words_in
 
 # The patterns and weights below define the annotations.
@@ -107,3 +110,56 @@ def features(d: Spark) -> dict[str, str]:
 
 def reasoning_types(d: Spark) -> dict[str, str]:
     return {"reasoning_types": present(d, REASONING_TYPES)}
+
+
+# Markers of hedged and of assertive language, Bloom's numbers, and what domains ask for.
+HEDGES = [r"\b(?:somewhat|rather|quite|fairly|relatively)\b", r"\b(?:tend to|inclined to|appears to)\b"]
+ASSERTIVE = [r"\b(?:clearly|obviously|undoubtedly|certainly)\b", r"\b(?:must|will|always|never)\b"]
+BLOOM_NUMBERS = {"remember": 1, "understand": 2, "apply": 3, "analyze": 4, "evaluate": 5, "create": 6}
+DOMAIN_DESCRIPTIONS = {
+    "mathematics": "Mathematical concepts, formulas, and quantitative reasoning",
+    "science": "Scientific principles, experimental methods, and research concepts",
+    "computer_science": "Programming concepts, algorithms, and technical systems",
+    "business": "Business terminology, strategic concepts, and market dynamics",
+    "history": "Historical context, chronological understanding, and cultural knowledge",
+    "philosophy": "Philosophical reasoning, logical arguments, and abstract concepts",
+    "technical_literacy": "Basic technical and scientific literacy required",
+    "advanced_reading": "Advanced reading comprehension skills required",
+}
+
+
+def implicit_confidence(d: Spark) -> dict[str, str]:
+    """The assertive share of assertive and hedged markers; 0.5 without any."""
+    a, h = hits(d, ASSERTIVE), hits(d, HEDGES)
+    return {"implicit_confidence": f"CASE WHEN {a} + {h} = 0 THEN 0.5 ELSE {a} / (({a} + {h}) * 1.0) END"}
+
+
+def factors(d: Spark) -> dict[str, str]:
+    """What complexity is made of; zeros without words or sentences."""
+    w, s = d.size("_w"), d.size("_s")
+    words = lambda x: f"CASE WHEN {w} = 0 THEN 0.0 ELSE {x} END"
+    parts = lambda x: f"CASE WHEN {s} = 0 THEN 0.0 ELSE {x} / ({s} * 1.0) END"
+    ttr = f"{d.size(d.distinct(d.map('_w', 'lower(x)')))} / ({w} * 1.0)"
+    return {"avg_word_length": words(avg_word_length(d)), "avg_sentence_length": parts(w), "lexical_diversity": words(ttr), "technical_term_density": words(f"{hits(d, TECHNICAL, '_t')} / {per(d, 50)}"), "complex_structure_density": parts(hits(d, STRUCTURES))}
+
+
+def ranked_prerequisites(d: Spark) -> dict[str, str]:
+    """From the columns of ``prerequisites``: those over 0 as name:strength (in thousandths), the strongest first, ties in the order of the domains."""
+    names = [*DOMAINS, "technical_literacy", "advanced_reading"]
+    if d is SPARK:
+        items = ", ".join(f"named_struct('s', -cast(round({k}, 6) as double), 'i', {i}, 'k', '{k}')" for i, k in enumerate(names))
+        return {"prerequisites": f"array_join(transform(filter(array_sort(array({items})), x -> x.s < 0), x -> concat(x.k, ':', cast(round(-x.s * 1000) as bigint))), ',')"}
+    items = ", ".join(f"{{'s': -round({k}, 6), 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(names))
+    return {"prerequisites": f"array_to_string(list_transform(list_filter(list_sort([{items}]), lambda x: x.s < 0), lambda x: x.k || ':' || CAST(round(-x.s * 1000) AS BIGINT)), ',')"}
+
+
+def objectives_table(df: DataFrame) -> DataFrame:
+    """doc_id, level, bloom (1..6) and strength, a row for each of Bloom's levels whose verbs a text of ``df`` (doc_id, text) has."""
+    out = evaluate(prepare(df), objectives(SPARK))
+    rows = [F.struct(F.lit(k).alias("level"), F.lit(BLOOM_NUMBERS.get(k, 2)).alias("bloom"), F.col(f"bloom_{k}").cast("double").alias("strength")) for k in BLOOM]
+    return out.select("doc_id", F.explode(F.array(*rows)).alias("o")).select("doc_id", "o.*").filter("strength > 0")
+
+
+def described(domain: Column) -> Column:
+    """What a domain asks for."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DOMAIN_DESCRIPTIONS.items() for x in kv]), domain), F.concat(domain, F.lit(" knowledge and concepts")))

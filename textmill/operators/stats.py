@@ -9,9 +9,10 @@ from textmill.operators.chunking import words
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row: documents, characters, and statistics of text length and word count; zeros on an empty table."""
-    x = df.select(F.length(F.coalesce("text", F.lit(""))).alias("c"), F.size(words(F.col("text"))).alias("w"))
-    out = [F.count("*").alias("total_documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("total_text_length")]
+    """One row: documents, chunks (where there is such a column), characters, and statistics of text length and word count; zeros on an empty table."""
+    chunks = [F.size(F.coalesce("chunks", F.array())).alias("k")] if "chunks" in df.columns else []
+    x = df.select(F.length(F.coalesce("text", F.lit(""))).alias("c"), F.size(words(F.col("text"))).alias("w"), *chunks)
+    out = [F.count("*").alias("total_documents"), *[F.coalesce(F.sum("k"), F.lit(0)).alias("total_chunks") for _ in chunks], F.coalesce(F.sum("c"), F.lit(0)).alias("total_text_length")]
     for c, name in (("c", "text_length"), ("w", "word_count")):
         out += [F.coalesce(f(c).cast("double"), F.lit(0.0)).alias(f"{name}_{k}") for k, f in (("mean", F.mean), ("median", F.median), ("min", F.min), ("max", F.max))]
         out.append(F.coalesce(F.sum(c), F.lit(0)).alias(f"{name}_total"))
@@ -46,3 +47,33 @@ def extraction_stats(results: DataFrame) -> DataFrame:
     """One row on an extraction (columns file_size and error): files, bytes, errors and the share of successes in per cent."""
     n, e = F.count("*"), F.count("error")
     return results.agg(n.alias("files_processed"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes_processed"), e.alias("errors"), ((n - e) / F.greatest(n, F.lit(1)) * 100).alias("success_rate"))
+
+
+def recommendations(metrics: DataFrame, has_labels: bool = False) -> DataFrame:
+    """``preview_metrics``'s row with the array recommendations."""
+    cases = [
+        (F.col("avg_quality") < 0.6, "Quality is low: add documents with more content."),
+        (F.col("avg_length") < 100, "Texts are very short: use larger chunks."),
+        (F.col("avg_length") > 2000, "Texts are very long: use smaller chunks."),
+        (F.lit(not has_labels), "There are no labels: add some for supervised tasks."),
+    ]
+    found = F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in cases]), lambda x: x.isNotNull())
+    return metrics.withColumn("recommendations", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Quality looks good for training."))))
+
+
+def distribution(df: DataFrame, col: str, edges: list[float]) -> DataFrame:
+    """bucket (number of the last edge at or under the value, from 1; 0 below all) and n, of the values of ``col`` that are not null."""
+    bucket = sum((F.when(F.col(col) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return df.filter(F.col(col).isNotNull()).groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def report(df: DataFrame) -> str:
+    """An HTML page of a dataset's summary and counts by source and language, where there are such columns."""
+    from html import escape
+
+    rows = [(k, v) for k, v in summary(df).first().asDict().items()]
+    for col in ("source", "language", "lang"):
+        if col in df.columns:
+            rows += [(f"{col}: {r[0]}", r[1]) for r in counts_by(df, col).orderBy(F.desc("documents"), col).limit(50).collect()]
+    body = "".join(f"<tr><td>{escape(str(k))}</td><td>{escape(str(v))}</td></tr>" for k, v in rows)
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Dataset report</title></head><body><h1>Dataset report</h1><table>{body}</table></body></html>"

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.dialect import DUCK, SPARK, Spark, doubles, duck_prepared, evaluate, prepare
-from textmill.operators import adversarial, chunking, clean, dedup, knowledge, metacognition, quality, semantic_quality, stats
+from textmill.operators import adversarial, chunking, clean, dedup, knowledge, metacognition, quality, semantic_chunks, semantic_quality, stats
+from textmill.plans.builder import DatasetBuilder
+from textmill.shared import cut
 from textmill.sources import web
 from textmill.sources.tables import read_table, spread
 
@@ -87,7 +89,11 @@ formula_query("metacog_cognitive_load", metacognition.load)
 formula_query("metacog_reading", lambda d: {"reading": metacognition.reading(d)})
 formula_query("metacog_features", metacognition.features, {*metacognition.FEATURES, "scaffolding", "engagement"})
 formula_query("metacog_reasoning_types", metacognition.reasoning_types, {"reasoning_types"})
+formula_query("metacog_implicit_confidence", metacognition.implicit_confidence)
+formula_query("metacog_factors", metacognition.factors)
+formula_query("chunk_complexity", lambda d: {"complexity": semantic_chunks.complexity(d)})
 formula_query("adversarial_fairness", adversarial.fairness)
+formula_query("adversarial_shares", adversarial.shares)
 formula_query("adversarial_robustness", adversarial.robustness)
 
 
@@ -114,6 +120,41 @@ def _layered(kind: str, last: tuple[str, ...]) -> None:
 _layered("bias", ("bias_score",))
 _layered("harm", ("harm_score", "harm_level"))
 
+def _later(name: str, first: Callable[[Spark], dict[str, str]], then: Callable[[Spark], dict[str, str]]) -> None:
+    """Texts that formulas make of the columns of others."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return evaluate(evaluate(prepare(cued(spark, sf_dir)), first(SPARK)), then(SPARK)).select("doc_id", *then(SPARK))
+
+    inner = ", ".join(f"{v} AS {k}" for k, v in first(DUCK).items())
+    outer = ", ".join(f"{v} AS {k}" for k, v in then(DUCK).items())
+    query(name, f"SELECT doc_id, {outer} FROM (SELECT doc_id, {inner} FROM {duck_prepared(DUCK_CUED)})")(run)
+
+
+_later("metacog_ranked_prerequisites", metacognition.prerequisites, metacognition.ranked_prerequisites)
+_later("adversarial_severities", lambda d: {k: v for k, v in adversarial.bias(d).items() if k != "bias_score"}, adversarial.severities)
+
+
+@query("metacog_objectives_table", "SELECT doc_id, level, bloom, round(strength, 9) AS strength FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS level, {metacognition.BLOOM_NUMBERS[k]} AS bloom, CAST({DUCK.cnt('_l', p)} AS DOUBLE) / greatest(len(_w) / 100.0, 1.0) AS strength FROM {duck_prepared(DUCK_CUED)}" for k, p in metacognition.BLOOM.items()) + ") WHERE strength > 0")
+def metacog_objectives_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metacognition.objectives_table(cued(spark, sf_dir)).select("doc_id", "level", "bloom", F.round("strength", 9).alias("strength"))
+
+
+@query("adversarial_indicators", "SELECT doc_id, kind, match, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(_la, '{DUCK._q(p)}')) AS match FROM {duck_prepared(DUCK_CUED)}" for k, (_, ps) in {**adversarial.BIAS, **adversarial.HARM}.items() for p in ps) + ") GROUP BY ALL")
+def adversarial_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adversarial.indicators(cued(spark, sf_dir)).groupBy("doc_id", "kind", "match").agg(F.count("*").alias("n"))
+
+
+_OPPOSITES = ", ".join(f"('{a}', '{b}')" for a, b in adversarial.OPPOSITES)
+
+
+@query("adversarial_opposites", f"""WITH p AS (SELECT doc_id, list_filter(_s, lambda x: length(x) > 15) AS s FROM {duck_prepared(DUCK_CUED)}), u AS (SELECT doc_id, unnest(range(len(s))) AS i, lower(unnest(s)) AS x FROM p),
+  o AS (SELECT * FROM (VALUES {_OPPOSITES}) AS v(pos, neg)), a AS (SELECT doc_id, i, pos FROM u, o WHERE contains(x, pos)), b AS (SELECT doc_id, i, pos FROM u, o WHERE contains(x, neg))
+  SELECT DISTINCT a.doc_id, least(a.i, b.i) AS first, greatest(a.i, b.i) AS second FROM a JOIN b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.i <> b.i""")
+def adversarial_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adversarial.opposed_pairs(cued(spark, sf_dir)).select("doc_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"))
+
+
 _PAIRS = " UNION ALL ".join(
     f"SELECT doc_id, i, {k} AS k, {DUCK.has('x', p)} AS pos, {DUCK.has('x', n)} AS neg FROM s" for k, (p, n) in enumerate(adversarial.CONTRADICTIONS)
 )
@@ -142,6 +183,11 @@ def adversarial_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adversarial.screen(cued(spark, sf_dir)).select("doc_id", "requires_review", "issues")
 
 
+@query("adversarial_flags", f"SELECT doc_id, CASE WHEN requires_review THEN '{adversarial.REVIEW_FLAG}' ELSE '' END AS flags FROM ({_review_sql()})")
+def adversarial_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(adversarial.screen(cued(spark, sf_dir)), {"flags": adversarial.flags()}).select("doc_id", "flags")
+
+
 # --- cleaning and personal data
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', '', 'g'), '\S+@\S+', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -176,9 +222,16 @@ def pii_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", clean.redact(F.col("text"), "remove").alias("text"))
 
 
-@query("pii_hash")
+def _sql_hash(text: str) -> str:
+    """Parts between matches and digests of the matches in turn, kind by kind."""
+    for kind, p in clean.PII.items():
+        text = f"(SELECT array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || CASE WHEN i <= len(m) THEN '[{kind}_' || sha256(m[i])[1:8] || ']' ELSE '' END), '') FROM (SELECT string_split_regex(t, '{p}') AS a, regexp_extract_all(t, '{p}') AS m FROM (SELECT {text} AS t)))"
+    return text
+
+
+@query("pii_hash", f"SELECT doc_id, {_sql_hash(f"text || '{_EXTRA} {_EXTRA}'")} AS text FROM documents")
 def pii_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", clean.redact(F.concat("text", F.lit(_EXTRA)), "hash").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", clean.redact(F.concat("text", F.lit(f"{_EXTRA} {_EXTRA}")), "hash").alias("text"))
 
 
 @query("pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k.lower()}" for k, p in clean.PII.items()) + " FROM documents")
@@ -193,9 +246,10 @@ def pii_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- quality
 
-_REP = """r AS (SELECT doc_id, CASE WHEN len(w) < 10 THEN 0.0 ELSE list_sum(list_transform(range(1, len(w) - 5), lambda i: CASE WHEN contains(array_to_string(w[i + 3:], ' '), array_to_string(w[i:i + 2], ' ')) THEN 1 ELSE 0 END)) / greatest(len(w) - 3, 1) END AS _rep
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))"""
-_BASIC = f"WITH {_REP}, q AS (SELECT d.doc_id, _rep, {quality.basic(DUCK)} AS quality_score FROM {duck_prepared('documents')} d JOIN r ON d.doc_id = r.doc_id)"
+_REP = lambda source: f"""r AS (SELECT doc_id, CASE WHEN len(w) < 10 THEN 0.0 ELSE list_sum(list_transform(range(1, len(w) - 5), lambda i: CASE WHEN contains(array_to_string(w[i + 3:], ' '), array_to_string(w[i:i + 2], ' ')) THEN 1 ELSE 0 END)) / greatest(len(w) - 3, 1) END AS _rep
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {source}))"""
+_SCORED = lambda source: f"{_REP(source)}, q AS (SELECT d.doc_id, _rep, {quality.basic(DUCK)} AS quality_score FROM {duck_prepared(source)} d JOIN r ON d.doc_id = r.doc_id)"
+_BASIC = f"WITH {_SCORED('documents')}"
 
 
 @query("basic_quality", f"{_BASIC} SELECT doc_id, round(_rep, 9) AS repetition_ratio, round(quality_score, 9) AS quality_score FROM q")
@@ -208,6 +262,18 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(documents(spark, sf_dir), 0.9, ["en", "de"]).select("doc_id")
 
 
+def _stop_words_sql() -> str:
+    n = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)})))" for k, ws in quality.STOP_WORDS.items()}
+    cols = ", ".join(f"{v} AS n_{k}" for k, v in n.items())
+    top = f"greatest({', '.join(f'n_{k}' for k in n)})"
+    return f"SELECT doc_id, CASE WHEN {top} = 0 THEN 'unknown' {' '.join(f"WHEN n_{k} = {top} THEN '{k}'" for k in n)} END AS language FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents))"
+
+
+@query("detect_language", _stop_words_sql())
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", quality.detect_language(F.col("text")).alias("language"))
+
+
 # --- chunking
 
 _W = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
@@ -274,6 +340,22 @@ def semantic_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cued(spark, sf_dir).select("doc_id", chunking.kind_of(F.col("text")).alias("semantic_type"))
 
 
+@query("chunk_totals", f"SELECT (SELECT count(*) FROM documents) AS total_documents, count(*) AS total_chunks FROM ({ORACLE_SQL['chunk_fixed']})")
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.summary(chunking.chunk(documents(spark, sf_dir), "fixed", 64)).select("total_documents", "total_chunks")
+
+
+@query("sentences", r"SELECT doc_id, i, s FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS a FROM documents))")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(semantic_chunks.sentences(F.col("text"))).alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), "s")
+
+
+@query("semantic_chunks")
+def semantic_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = semantic_chunks.semantic_chunks(cued(spark, sf_dir), semantic_chunks.hashed_words())
+    return out.select("doc_id", "chunk_ix", "text", "word_count", "start_sentence", "end_sentence", "semantic_type", F.round("complexity", 9).alias("complexity"), F.round("coherence", 9).alias("coherence"), F.size("chains").alias("n_chains"), F.size("arguments").alias("n_arguments"))
+
+
 # --- de-duplication
 
 @query("dedup_documents", "SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents GROUP BY text")
@@ -317,10 +399,38 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.facts(prepare(cued(spark, sf_dir))).select("doc_id", "statement", F.round(F.col("confidence").cast("double"), 9).alias("confidence"), "fact_type")
 
 
-@query("entity_cooccurrence")
-def entity_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = cued(spark, sf_dir)
-    return knowledge.cooccurrence(prepare(d), knowledge.entities(d))
+NAMES = ["Doctor Jane Smith met the Acme Company in New York. Later Jane Smith left New York, and so did Acme.", "The Blue River College is near Old Town. Old Town likes the Blue River College. Jane Smith was never there.", "No names are here."]
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.element_at(F.array(*[F.lit(c) for c in NAMES]), (F.pmod("doc_id", F.lit(len(NAMES))) + 1).cast("int"))
+    return cued(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" "), more))
+
+
+_NAMED = f"(SELECT * REPLACE (text || ' ' || [{', '.join(repr(x) for x in NAMES)}][(doc_id % {len(NAMES)}) + 1] AS text) FROM {DUCK_CUED})"
+_ENTITIES = rf"""f AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT doc_id, regexp_extract_all(text, '\b\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)+\b') AS a FROM {_NAMED})),
+  g AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS ix FROM f GROUP BY doc_id, e), ents AS (SELECT doc_id, min(ix) AS ix, arg_min(e, ix) AS entity FROM g GROUP BY doc_id, lower(e)),
+  sents AS (SELECT doc_id, unnest(range(len(_p))) AS sentence_ix, unnest(_p) AS x FROM {duck_prepared(_NAMED)}),
+  rels AS (SELECT s.doc_id, s.sentence_ix, a.entity AS subject, b.entity AS object FROM sents s JOIN ents a ON a.doc_id = s.doc_id AND contains(s.x, a.entity) JOIN ents b ON b.doc_id = s.doc_id AND contains(s.x, b.entity) AND a.ix < b.ix)"""
+
+
+@query("kg_entities", f"WITH {_ENTITIES} SELECT doc_id, ix, entity, 'other' AS entity_type FROM ents")
+def kg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knowledge.analyse_entities(knowledge.merge_entities(knowledge.entities(named(spark, sf_dir))))
+    return found.select("doc_id", F.col("ix").cast("long").alias("ix"), "entity", "entity_type")
+
+
+@query("kg_relations", f"WITH {_ENTITIES} SELECT doc_id, sentence_ix, subject, 'co_occurs_with' AS predicate, object, 0.3 AS confidence FROM rels")
+def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = named(spark, sf_dir)
+    out = knowledge.cooccurrence(prepare(d), knowledge.merge_entities(knowledge.entities(d)))
+    return out.select("doc_id", F.col("sentence_ix").cast("long").alias("sentence_ix"), "subject", "predicate", "object", "confidence")
+
+
+@query("kg_confidence", f"""WITH {_ENTITIES}, facts AS ({ORACLE_SQL['facts'].replace(DUCK_CUED, _NAMED)}), m AS (SELECT doc_id, 0.5 AS m FROM ents GROUP BY 1 UNION ALL SELECT doc_id, 0.3 FROM rels GROUP BY 1 UNION ALL SELECT doc_id, avg(confidence) FROM facts GROUP BY 1)
+  SELECT d.doc_id, round(coalesce(avg(m), 0.5), 6) AS confidence_score FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id""")
+def kg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.knowledge_graph(named(spark, sf_dir)).select("doc_id", F.round("confidence_score", 6).alias("confidence_score"))
 
 
 # --- web
@@ -388,15 +498,45 @@ def preview_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.preview_metrics(documents(spark, sf_dir))
 
 
+@query("preview_recommendations", f"""SELECT total, CASE WHEN avg_quality < 0.6 THEN 'Quality is low: add documents with more content.|' ELSE '' END || CASE WHEN avg_length < 100 THEN 'Texts are very short: use larger chunks.|' ELSE '' END
+  || CASE WHEN avg_length > 2000 THEN 'Texts are very long: use smaller chunks.|' ELSE '' END || 'There are no labels: add some for supervised tasks.' AS recommendations FROM (SELECT *, excellent + good + fair + poor AS total FROM ({ORACLE_SQL['preview_metrics']}))""")
+def preview_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.recommendations(stats.preview_metrics(documents(spark, sf_dir))).select((F.col("excellent") + F.col("good") + F.col("fair") + F.col("poor")).alias("total"), F.array_join("recommendations", "|").alias("recommendations"))
+
+
+# --- sources of several kinds, and windows
+
+@query("union_of_sources", "SELECT id, source, source_kind, url, text FROM (SELECT CAST(doc_id AS VARCHAR) AS id, source, 'table' AS source_kind, NULL AS url, md5(text) AS text FROM documents UNION ALL SELECT md5(html) AS id, 'pages', 'table', url, md5(html) FROM pages)")
+def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select(F.md5(F.col("html").cast("binary")).alias("id"), "url", F.col("html").alias("text"))
+    rows = DatasetBuilder(spark).add_table(documents(spark, sf_dir), "documents").add_table(pages, "pages").rows()
+    return rows.select("id", "source", "source_kind", "url", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("first_turns", "SELECT conv_id, turn, md5(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_of_each(read_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 # --- the flagship: clean, filter, redact, chunk, de-duplicate and count
 
-@query("dataset_by_language")
+_CLEANED = f"(SELECT doc_id, lang, {_CLEAN.format(t='text')} AS text FROM documents)"
+_FLAGSHIP = f"""WITH {_SCORED(_CLEANED)}, d AS (SELECT q.doc_id, lang, quality_score, {_sql_redact('text', lambda k: f'[{k}]')} AS text FROM q JOIN {_CLEANED} c ON c.doc_id = q.doc_id WHERE quality_score >= 0.7),
+  w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM d),
+  c AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 64], ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w), 56)) AS i FROM w) WHERE (i = 0 OR i - 56 + 64 < len(w)) AND length(array_to_string(w[i + 1:i + 64], ' ')) >= 100),
+  k AS (SELECT doc_id, count(*) AS chunks FROM (SELECT arg_min(doc_id, doc_id) AS doc_id FROM c GROUP BY t) GROUP BY doc_id)
+  SELECT lang, count(*) AS documents, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks, round(avg(quality_score), 9) AS mean_quality FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY lang"""
+
+
+@query("dataset_by_language", _FLAGSHIP)
 def dataset_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = clean.clean_documents(documents(spark, sf_dir))
-    d = quality.quality_filter(d, 0.7).withColumn("text", clean.redact(F.col("text")))
-    c = chunking.explode_chunks(chunking.chunk(d, "sliding_window", 64, 8))
-    kept = dedup.dedup_chunks(c, ["doc_id", "chunk_ix"]).groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    out = d.join(kept, "doc_id", "left").groupBy("lang")
+    d = clean.clean_documents(documents(spark, sf_dir), clean.CleanConfig(fix_unicode=False))
+    d = quality.quality_filter(d, 0.7).select("doc_id", "lang", "quality_score", clean.redact(F.col("text")).alias("text"))
+    d = cut(d, "cleaned")  # both branches read it
+    c = chunking.explode_chunks(chunking.chunk(d, "sliding_window", 64, 8)).select("doc_id", "chunk_ix", F.md5(F.col("text").cast("binary")).alias("h"))
+    first = c.groupBy("h").agg(F.min(F.struct("doc_id", "chunk_ix")).alias("f"))  # hashes and keys alone are shuffled
+    kept = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.count("*").alias("chunks"))
+    out = d.select("doc_id", "lang", "quality_score").join(kept, "doc_id", "left").groupBy("lang")
     return out.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.round(F.avg("quality_score"), 9).alias("mean_quality"))
 
 

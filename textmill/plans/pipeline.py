@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.dialect import SPARK, evaluate, prepare
-from textmill.operators import adversarial, chunking, clean, dedup, metacognition, quality
+from textmill.operators import adversarial, chunking, clean, dedup, knowledge, metacognition, quality
 
 Step = Callable[..., DataFrame]
 
@@ -40,12 +40,19 @@ def annotate(df: DataFrame) -> DataFrame:
 
 
 def screen(df: DataFrame) -> DataFrame:
-    """Columns requires_review and issues."""
-    out = adversarial.screen(df)
-    return out.select(*df.columns, "requires_review", "issues")
+    """Columns requires_review, issues and flags."""
+    out = evaluate(adversarial.screen(df), {"flags": adversarial.flags()})
+    return out.select(*df.columns, "requires_review", "issues", "flags")
 
 
-def default_pipeline(chunk_size: int = 512, overlap: int = 50, remove_pii: bool = True, quality_threshold: float | None = 0.7, remove_duplicates: bool = True, chunking_strategy: str = "semantic", add_metacognitive_annotations: bool = False, enable_adversarial_testing: bool = False) -> Pipeline:
+def know(df: DataFrame, recognise: knowledge.Recogniser | None = None) -> DataFrame:
+    """A struct column knowledge_graph."""
+    graph = knowledge.knowledge_graph(df, recognise)
+    graph = graph.select("doc_id", F.struct(*[c for c in graph.columns if c != "doc_id"]).alias("knowledge_graph"))
+    return df.join(graph, "doc_id", "left")
+
+
+def default_pipeline(chunk_size: int = 512, overlap: int = 50, remove_pii: bool = True, quality_threshold: float | None = 0.7, remove_duplicates: bool = True, chunking_strategy: str = "semantic", extract_knowledge: bool = False, add_metacognitive_annotations: bool = False, enable_adversarial_testing: bool = False) -> Pipeline:
     """The default order; each argument turns a step on or off. Rows need doc_id and text."""
     p = Pipeline().add_step(clean.clean_documents)
     if quality_threshold:
@@ -57,6 +64,8 @@ def default_pipeline(chunk_size: int = 512, overlap: int = 50, remove_pii: bool
     p.add_step(chunking.chunk, strategy=chunking_strategy, size=chunk_size, overlap=overlap)
     if remove_duplicates:
         p.add_step(drop_repeated_chunks)
+    if extract_knowledge:
+        p.add_step(know)
     if enable_adversarial_testing:
         p.add_step(screen)
     return p

@@ -37,8 +37,10 @@ def register_extractor(ext: str, f: Callable[[bytes], tuple[str, dict[str, str]]
     EXTRACTORS[ext] = f
 
 
-def decode(data: bytes) -> tuple[str, dict[str, str]]:
-    """By byte-order mark, else UTF-8 if it is valid, else Latin-1."""
+def decode(data: bytes, encoding: str = "auto") -> tuple[str, dict[str, str]]:
+    """In the encoding that is given; auto: by byte-order mark, else UTF-8 if it is valid, else Latin-1."""
+    if encoding != "auto":
+        return data.decode(encoding, "ignore"), {"encoding": encoding}
     for mark, enc in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(enc, "ignore"), {"encoding": enc}
@@ -178,8 +180,9 @@ def pdf(data: bytes) -> tuple[str, dict[str, str]]:
 BUILT_IN = {".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".odt": opendocument, ".ods": opendocument, ".odp": opendocument, ".epub": epub, ".pdf": pdf, ".txt": decode, ".md": decode, ".rtf": decode}
 
 
-def extract(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """A row for each file of a known kind in ``path``: id, source, kind, file_name, file_size, file_modified, text, metadata and error (null if it went well)."""
+def extract(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, encoding: str = "auto") -> DataFrame:
+    """A row for each file of a known kind in ``path``: id, source, kind, file_name, file_size, file_modified, text, metadata, error (null if it went well),
+    extractor and extraction_time. ``encoding`` is that of text files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path)
     files = files.withColumn("kind", kind_of(F.col("path"))).filter("kind is not null").withColumn("ext", extension(F.col("path")))
     readers = {**BUILT_IN, **EXTRACTORS}
@@ -193,7 +196,7 @@ def extract(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
                         raise ValueError("File too large")
                     if e not in readers:
                         raise ValueError(f"no extractor for {e}")
-                    text, meta = readers[e](data)
+                    text, meta = decode(data, encoding) if readers[e] is decode else readers[e](data)
                     rows.append((text, meta, None))
                 except Exception as x:  # a broken file is a row, not a failed job
                     rows.append(("", {}, f"{type(x).__name__}: {x}"))
@@ -201,4 +204,4 @@ def extract(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
 
     cols = files.select(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 16).alias("id"), F.col("path").alias("source"), "kind", "ext", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", F.col("modificationTime").alias("file_modified"), "content")
     out = cols.mapInPandas(of, f"id string, source string, kind string, ext string, file_name string, length long, file_modified timestamp, {SCHEMA}")
-    return out.withColumnRenamed("length", "file_size")
+    return out.withColumnRenamed("length", "file_size").withColumn("extractor", F.col("kind")).withColumn("extraction_time", F.current_timestamp())

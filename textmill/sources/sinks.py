@@ -1,8 +1,8 @@
-"""Sinks: JSONL, Parquet and CSV."""
+"""Sinks: JSONL, Parquet, CSV, and a dataset folder for training libraries; and JSONL back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,25 @@ def to_csv(df: DataFrame, path: str, columns: list[str] | None = None, most: int
     if "text" in cols:
         out = out.withColumn("text", F.substring("text", 1, most))
     out.write.option("header", "true").option("escape", '"').csv(path)
+
+
+def to_dataset_folder(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Parquet under data/ and a README.md with the features, as dataset libraries load it; columns id, text, source and metadata where there are such."""
+    cols = columns or [c for c in ("id", "doc_id", "text", "source", "metadata") if c in df.columns]
+    out = df.select(*cols)
+    out.write.option("compression", "snappy").parquet(f"{path.rstrip('/')}/data")
+    card = "---\nconfigs:\n- config_name: default\n  data_files: data/*.parquet\n---\n\n" + "\n".join(f"- {c}: {t}" for c, t in out.dtypes) + "\n"
+    spark = df.sparkSession
+    jvm = spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/README.md")
+    stream = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        stream.write(bytearray(card.encode()))
+    finally:
+        stream.close()
+
+
+def from_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Objects, one a line, gzipped or not; with ``schema`` the file is not read to infer one."""
+    r = spark.read.schema(schema) if schema else spark.read
+    return r.json(path)
