@@ -370,12 +370,12 @@ def dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similar_pairs")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.similar_pairs(read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), "k")
+    return dedup.similar_pairs(read_table(spark, sf_dir, "conversations").select((F.shiftleft("conv_id", 32) + F.col("turn")).alias("k"), "text"), "k")
 
 
 @query("dedup_similar")
 def dedup_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_similar(read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), "k").select("k", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return dedup.dedup_similar(read_table(spark, sf_dir, "conversations").select((F.shiftleft("conv_id", 32) + F.col("turn")).alias("k"), "text"), "k").select("k", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 # --- knowledge

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.shared import cut
+
 #: Elements whose text is left out, and elements without an end tag.
 DROPPED = ("script", "style", "nav", "footer", "header")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -116,13 +118,13 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
 
 def crawl(pages: DataFrame, seeds: list[str], max_depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """url, depth of the pages that are reached from the seeds over links in a table of pages, breadth first; each page once, at its least depth."""
-    links = parse_pages(pages).select("url", F.explode("links").alias("to")).distinct()
-    known = pages.select("url").distinct()
+    links = cut(parse_pages(pages).select("url", F.explode("links").alias("to")).distinct(), "links")  # pages are parsed once
+    known = pages.select("url").filter("url is not null").distinct()
     spark = pages.sparkSession
     frontier = spark.createDataFrame([(s,) for s in seeds], "url string").join(known, "url", "left_semi").distinct().withColumn("depth", F.lit(0))
     found = frontier
     for d in range(1, max_depth + 1):
         step = links.join(frontier, "url").select(F.col("to").alias("url")).distinct().join(known, "url", "left_semi").join(found, "url", "left_anti")
-        frontier = step.withColumn("depth", F.lit(d))
+        frontier = cut(step.withColumn("depth", F.lit(d)), "frontier")
         found = found.unionByName(frontier)
     return found.orderBy("depth", "url").limit(max_pages) if max_pages else found
