@@ -516,15 +516,145 @@ def test_chat_edges(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def pipeline_tables(spark, d):
+    rows, labels = toxic_rows(90)
+    rng = random.Random(31)
+    bench = " ".join(f"bench{k}" for k in range(14))
+    near = rows[4][1].split()
+    near[40] = "changed"
+    docs = [(i, t, "en", "s", 7) for i, t in rows] + [
+        (100, rows[1][1], "en", "s", 7), (101, "123 !", "en", "s", 7), (102, None, None, None, None), (103, rows[2][1] + " " + bench, "en", "s", 7), (104, " ".join(near), "en", "s", 7),
+        (105, rows[5][1], "en", "s", 7), (105, rows[5][1], "en", "s", 7), (106, some_text(rng, 3000, 4000), "en", "s", 7), (107, "", "en", "s", 7), (None, rows[7][1] + " of no id", "en", "s", 7),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, _d long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, bench), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return docs, labels, bench
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """Every stage's rows against a plain version of it, on what the stage before left."""
     import corpus_pipeline as cp
 
-    rows, labels = toxic_rows(60)
-    docs = [(i, t, "en", "s") for i, t in rows] + [(100, rows[1][1], "en", "s"), (101, "123", "en", "s"), (102, None, None, None), (103, rows[2][1] + " " + " ".join(f"bench{k}" for k in range(12)), "en", "s")]
     d = str(tmp_path)
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(f"bench{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    out = {r["doc_id"] for r in cp.run(spark, d).collect()}
-    y = dict(labels)
-    assert not out & {100, 101, 102, 103} and all(y[i] == 0 for i in out) and len(out) >= 36
+    docs, labels, bench = pipeline_tables(spark, d)
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    left = sorted([x[:2] for x in docs], key=key)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, d)
+        assert out.columns == df.columns
+        out.write.parquet(f"{d}/{name}")
+        df = spark.read.parquet(f"{d}/{name}")
+        if name == "toxicity":
+            held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+            model = toxicity.fit(toxicity.sample(spark.read.parquet(f"{d}/documents.parquet"), frame(spark, [x for x in labels if x[0] not in held], "doc_id long, toxic int")))
+            s = toxicity.Scorer(model, toxicity.Config())
+            left = [x for x in left if s.score(x[1]) < 0.5]
+            assert not any(w in (t or "") for _, t in left for w in ("villainous", "rottenheart", "scoundrel")) and len(left) >= 65
+        elif name == "language":
+            left = [x for x in left if any(c.isalpha() for c in x[1] or "")]
+        elif name == "near_duplicates":
+            kept, sets = [], []
+            for i, t in left:  # no chains of links here: each group is one row and its copies
+                w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+                own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+                if i is None or not any(5 * len(own & o) >= 4 * len(own | o) for o in sets):
+                    kept.append((i, t))
+                    sets += [own] if i is not None else []
+            left = kept
+        elif name == "decontamination":
+            left = [x for x in left if bench not in x[1]]
+        assert sorted([(r["doc_id"], r["text"]) for r in df.collect()], key=key) == left, name
+    assert not {100, 101, 102, 103, 104, 107} & {i for i, _ in left} and [i for i, _ in left].count(105) <= 1
+    v = tokens.WordVocabulary("word_bpe_49k.json")
+    got = cp.run(spark, d).collect()
+    want = []
+    for i, t in left:
+        ids = v.encode([t])[0] + b"\0\0\0\0"
+        want += [(i, k, s, len(ids[4 * s : 4 * (s + 2048)]) // 4, zlib.crc32(ids[4 * s : 4 * (s + 2048)])) for k, s in enumerate(range(0, len(ids) // 4, 2048))]
+    assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = str(tmp_path)
+    pipeline_tables(spark, d)
+    empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    assert [stage(spark, empty, d).count() for _, stage in cp.STAGES] == [0] * 5
+    unlabelled = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert [r["doc_id"] for r in cp.identified(spark, unlabelled, d).collect()] == [1]
+
+
+def test_contamination_edges(spark):
+    items = spark.createDataFrame([(1, "short item here")], "item_id long, text string")
+    clash = frame(spark, [(1, "a short item here", "x", "y"), (1, "a short item here", "x", "y"), (2, "b", "x", "y")]).withColumns({"_d": F.lit(1), "_x": F.lit(2), "_t": F.lit(3), "n_hit": F.lit(4), "_w": F.lit(5)})
+    assert [r["doc_id"] for r in contamination.clean(clash, items).collect()] == [2] and contamination.clean(clash, items).columns == clash.columns
+    assert contamination.mark(clash, items).filter("n_hit = 3").count() == 2
+    assert contamination.mark(clash.limit(0), items).count() == 0 and contamination.clean(clash.limit(0), items).count() == 0
+
+
+def test_language_and_tokens_edges(spark):
+    rows = [(i, ("kala malak " if i % 2 else "xiquo zoqui ") * 20, "aa" if i % 2 else "cc") for i in range(40)]
+    docs = frame(spark, rows + rows[:1]).withColumns({"lang_pred": F.lit("x"), "n_tokens": F.lit("y"), "over_limit": F.lit(1)})
+    model = language.fit(language.sample(docs))
+    got = language.identify(docs, model)
+    assert got.filter("doc_id = 0").select("lang_pred", F.col("score").cast("double")).distinct().count() == 1 and got.filter("doc_id = 0").count() == 2
+    assert language.identify(docs.limit(0), model).count() == 0 and language.fit(language.sample(docs.limit(0))).langs == []
+    # ties of the mixture go to the language whose name sorts first
+    same = language.Model(["aa", "bb"], np.repeat(model.logp[:, :1], 2, axis=1))
+    assert language.infer(["kala malak"], same, language.Config())[0][0] == "aa"
+    t = tokens.count_tokens(docs)
+    assert t.count() == 41 and t.schema["n_tokens"].dataType.simpleString() == "bigint" and tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_language_mixture_brute_force():
+    """Expectation-maximisation and the choice of the set, word by word in plain Python."""
+    import itertools
+    import math
+
+    rng = np.random.default_rng(3)
+    cfg = language.Config(bits=10)
+    logp = np.log(rng.dirichlet(np.full(1 << 10, 0.3), size=3).T).astype(np.float32)
+    model = language.Model(["aa", "bb", "cc"], logp)
+    for n in (1, 4, 30):
+        text = " ".join("".join(rng.choice(list("abcdef"), size=rng.integers(1, 6))) for _ in range(n))
+        like = []
+        for w in text.split():
+            h = language.trigrams([w], 10)[0]
+            ll = [float(sum(logp[x, k] for x in h)) for k in range(3)]
+            like.append([math.exp(max(x - max(ll), -60)) for x in ll])
+
+        def em(pi, steps):
+            for _ in range(steps):
+                new = [0.0] * 3
+                for r in like:
+                    z = sum(r[k] * pi[k] for k in range(3))
+                    for k in range(3):
+                        new[k] += r[k] * pi[k] / max(z, 1e-30) / len(like)
+                pi = new
+            return pi, sum(math.log(max(sum(r[k] * pi[k] for k in range(3)), 1e-30)) for r in like)
+
+        full, _ = em([1 / 3] * 3, cfg.rounds)
+        order = sorted(range(3), key=lambda k: -full[k])
+        best = None
+        for size in (1, 2, 3):
+            own = order[:size]
+            if size == 1:
+                pi, ll = em([1.0 if k in own else 0.0 for k in range(3)], 0)
+            else:
+                z = sum(full[k] + 1e-6 for k in own)
+                pi, ll = em([(full[k] + 1e-6) / z if k in own else 0.0 for k in range(3)], cfg.rounds // 2)
+            score = ll - 0.5 * math.log(len(like) + 1) * (size - 1)
+            if best is None or score > best[0] + 1e-4:
+                best = (score, pi)
+        got = language.infer([text], model, cfg)[0]
+        top = max(range(3), key=lambda k: best[1][k])
+        assert got[0] == model.langs[top] and abs(got[1] - best[1][top]) < 1e-3
+        assert set(got[2]) == {model.langs[k] for k in range(3) if best[1][k] > 1e-4}, list(itertools.chain(got[2]))
