@@ -3,6 +3,10 @@
 Toxic documents go, then those whose language cannot be told, then all but the least id of each group of near-duplicates
 (five words, a similarity of 0.8), then those that share ten words in a row with the benchmark; the rest is packed into
 sequences of 2048 tokens.
+
+Every stage takes and, but for the last, returns all columns of its rows. A null or empty text is not toxic but has no letter, so
+it goes with the second stage; repeated rows are one document to the third; rows with a null id stay in it; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told: those with a letter."""
+    """Rows whose language can be told: those with a letter. Where no row is labelled, nothing is learned and the letter decides alone."""
     model = language.fit(language.sample(docs.filter(~held_out(F.col("doc_id"), 4, 2))))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return docs.filter(language.language_of(model)(F.col("text"))["lang"] != language.UND)
 
 
