@@ -408,7 +408,7 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = f"(SELECT * REPLACE (text || ' ' || [{', '.join(repr(x) for x in NAMES)}][(doc_id % {len(NAMES)}) + 1] AS text) FROM {DUCK_CUED})"
-_ENTITIES = rf"""f AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT doc_id, regexp_extract_all(text, '\b\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)+\b') AS a FROM {_NAMED})),
+_ENTITIES = rf"""f AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS e FROM (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)+)', 1) AS a FROM {_NAMED})),
   g AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS ix FROM f GROUP BY doc_id, e), ents AS (SELECT doc_id, min(ix) AS ix, arg_min(e, ix) AS entity FROM g GROUP BY doc_id, lower(e)),
   sents AS (SELECT doc_id, unnest(range(len(_p))) AS sentence_ix, unnest(_p) AS x FROM {duck_prepared(_NAMED)}),
   rels AS (SELECT s.doc_id, s.sentence_ix, a.entity AS subject, b.entity AS object FROM sents s JOIN ents a ON a.doc_id = s.doc_id AND contains(s.x, a.entity) JOIN ents b ON b.doc_id = s.doc_id AND contains(s.x, b.entity) AND a.ix < b.ix)"""
