@@ -209,3 +209,72 @@ def test_sinks_and_pipeline(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == out.count()
     p = Pipeline().add_step(lambda d, n: d.withColumn("n", F.lit(n)), n=3)
     assert p.process(df).first()["n"] == 3
+
+
+def test_sections(spark):
+    """Sections and rule-based sections against a restatement."""
+    rng = random.Random(17)
+    line = lambda: rng.choice(["Topic one: words follow", "# head", "* item", "- dash", "1. first", "ALL CAPS", "plain text. More text! End", "because it is so", "", "Über alles"]) + " " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(40)))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def sentence_chunks(t, size, least):
+        out, cur, n = [], [], 0
+        for x in re.split("[.!?]+", t):
+            k = len(x.split())
+            if n + k > size and cur:
+                out.append(" ".join(cur))
+                cur, n = [], 0
+            cur.append(x)
+            n += k
+        return out + [t for t in [" ".join(cur)] if cur and len(t) >= least]
+
+    def plain(t, size=64, least=100):
+        out = []
+        for x in re.split(r"\n(?=[A-Z#*-])", t):
+            out += sentence_chunks(x, size, least) if len(x.split()) > size else [x] if len(x) >= least else []
+        return out
+
+    got = {}
+    for r in chunking.explode_chunks(chunking.chunk(df, "sections", 64)).orderBy("doc_id", "chunk_ix").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {i: c for i, t in enumerate(texts) if (c := plain(t))}
+
+    def rules(t):
+        parts = [t]
+        for p in chunking.SECTION_STARTS:
+            parts = [y for x in parts for y in re.split(p, x)]
+        return [x for x in map(str.strip, parts) if x and len(x.split()) >= 25] or [t]
+
+    got = {r["doc_id"]: [c["text"] for c in r["chunks"]] for r in chunking.chunk(df, "semantic").collect()}
+    assert got == {i: rules(t) for i, t in enumerate(texts)}
+
+
+def test_page_texts(spark):
+    """Pages made of known parts: what is dropped, what is kept, and links."""
+    rng = random.Random(19)
+    rows, want = [], {}
+    for i in range(40):
+        body, text, links = [], [], set()
+        for _ in range(rng.randrange(8)):
+            w = f"word{rng.randrange(1000)}"
+            kind = rng.choice(["p", "nav", "script", "footer", "a", "br", "entity"])
+            if kind == "a":
+                body.append(f"<a href='/x{w}#frag'>{w}</a><a href='mailto:a@b.c'> </a>")
+                text.append(w)
+                links.add(f"http://h{i}.org/x{w}")
+            elif kind == "br":
+                body.append(f"{w}<br>")
+                text.append(w)
+            elif kind == "entity":
+                body.append(f"<div>{w} &amp; &eacute;</div>")
+                text.append(f"{w} & é")
+            else:
+                body.append(f"<{kind}>{w}</{kind}>")
+                text += [w] if kind == "p" else []
+        rows.append((i, f"http://h{i}.org/", f"<html lang='de'><head><title>T {i}</title><meta property='og:description' content='d{i}'></head><body>{''.join(body)}</body></html>"))
+        want[i] = (f"T {i}", "de", f"d{i}", sorted(links), "\n".join([f"T {i}", *text]))
+    rows += [(100, None, None)]
+    want[100] = ("", "", "", [], "")
+    got = {r["page_id"]: (r["title"], r["language"], r["description"], r["links"], r["text"]) for r in web.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

@@ -113,8 +113,9 @@ def kind_of(text: Column) -> Column:
 def rule_sections(text: Column, min_words: int = 25) -> Column:
     """Sections split by each kind of start in turn; the whole text where none has ``min_words`` words."""
     parts = F.array(F.coalesce(text, F.lit("")))
+    at = lambda p: lambda x: F.split(x, p)  # noqa: E731  a second argument would get the index
     for p in SECTION_STARTS:
-        parts = F.flatten(F.transform(parts, lambda x, p=p: F.split(x, p)))
+        parts = F.flatten(F.transform(parts, at(p)))
     parts = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     made = F.transform(F.filter(parts, lambda x: F.size(words(x)) >= min_words), lambda x: F.struct(x.alias("text"), F.size(words(x)).alias("word_count"), F.lit("rule_based_semantic").alias("type"), kind_of(x).alias("semantic_type"), F.lit(0.5).alias("coherence_score")))
     whole = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.size(words(text)).alias("word_count"), F.lit("fallback").alias("type"), kind_of(text).alias("semantic_type"), F.lit(0.5).alias("coherence_score"))

@@ -450,9 +450,12 @@ def page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", F.explode(web.hrefs(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("page_domain_filter", r"SELECT page_id FROM pages WHERE NOT regexp_extract(url, '://([^/?#]*)', 1) LIKE 'm.%' AND url IS NOT NULL AND regexp_extract(url, '://([^/?#]*)', 1) IN (SELECT regexp_extract(url, '://([^/?#]*)', 1) FROM pages)")
+_BLOCKED = ["blog.tionsh.example.net", "thther.example.org", "blog.tiontion.example.com"]
+
+
+@query("page_domain_filter", f"SELECT page_id FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) NOT IN ({', '.join(repr(h) for h in _BLOCKED)})")
 def page_domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").filter(~web.host(F.col("url")).startswith("m.")).select("page_id")
+    return web.domain_filter(read_table(spark, sf_dir, "pages"), blocked=_BLOCKED).select("page_id")
 
 
 @query("page_text")
