@@ -328,6 +328,46 @@ def test_tokens(spark, texts):
     assert list(small.ids(texts, run=500)) == v.encode(texts)
 
 
+def test_tokens_are_found_in_numpy_as_by_the_pattern(monkeypatch):
+    rng = random.Random(5)
+    some = "'''stmdrevl  ,.!\n\tab19\0é\xa0\x85²ßœŁ"
+    made = ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    made += ["a" + c + "b'" + c + "s " + 9 * c for c in tokens.LATIN if c not in tokens.ODD and c != "İ"]
+    made += ["!!!!!!!", "!!!!!!!\0", "x" * 35 + " " + "x" * 36, "ab" * 50 + " " + "ab" * 50 + "c", "'re've'll'd're", "'"]
+    want = [tokens.PRE_TOKENS.findall(x.lower()) for x in made]
+
+    def found(x):
+        x = x.lower() + " " * 6
+        c = np.frombuffer(x.encode("utf-16-le"), dtype="<u2")
+        number, different = tokens.group(x, c, *tokens.spans(c))
+        assert len(set(different)) == len(different)
+        return [different[i] for i in number]
+
+    assert [found(x) for x in made] == want and found("\n".join(made)) == sum(want, [])
+    v = tokens.WordVocabulary("word_bpe_49k.json")
+    ids = v.encode(made)
+    assert list(v.ids(made)) == ids
+    # a long text goes in parts, cut at spaces
+    long = [" ".join(made), None, "x " * 40 + "y" * 90]
+    assert list(v.ids(long, run=70)) == v.encode([x or "" for x in long])
+    monkeypatch.setattr(tokens, "WIDEST", 10)
+    assert list(v.ids(made)) == ids and list(v.ids(["", None])) == [b"", b""] and list(v.ids([])) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(tokens, "MIX", 0)  # hashes that keep only the last characters: strings that share one still stay apart
+    assert list(v.ids(made)) == ids and found("\n".join(made)) == sum(want, [])
+
+
+def test_memo_keeps_what_is_met_again():
+    v = tokens.WordVocabulary("word_bpe_49k.json", memo=120)
+    merged = []
+    learn = v.learn
+    v.learn = lambda new: merged.extend(new) or learn(new)
+    often = [[f"zq{a}{b}{c}" for b in "xwvkj" for c in "qzxw"] for a in "ab"]  # every other run has the same 20 units
+    runs = [" ".join(often[i % 2] + [f"qx{chr(97 + i)}{b}zz" for b in "abcdefghijklmnopqrstuvwxyz"]) for i in range(26)]
+    assert list(v.ids(runs, run=1)) == v.encode(runs)
+    assert max(merged.count(x) for x in often[0] + often[1]) <= 2
+
+
 def test_packing(spark, texts):
     rows = list(enumerate(texts)) + [(500, None), (501, "a b c " * 3000), (502, texts[20]), (502, texts[20])]
     got = packing.pack(frame(spark, rows), capacity=256).collect()
