@@ -158,6 +158,30 @@ def test_similar_pairs(spark, threshold):
     assert got == want and len(want) > 60
 
 
+def test_similar_pairs_writes_rows_by_text(spark, monkeypatch):
+    # unrelated texts of common parts: what is written between steps has a row for a text, not for a character, and few pairs are compared in full
+    rng, rows, cut, parts = random.Random(5), {}, dedup.cut, "the |er|on|th|an|re |tion |ing |ou|ea|st|nd |in|wh|ble |ly |of |sh".split("|")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([60, 200]) if i else 30)) for i in range(300)]
+    texts.append("x" + texts[0])
+
+    def counted(df, name):
+        out = cut(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "cut", counted)
+    assert [(r["a"], r["b"]) for r in dedup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()] == [(0, 300)]
+    assert max(rows.values()) <= len(texts)
+
+
+def test_similar_blocks():
+    # classes over the limit are divided, small neighbours share a block, and every pair of lengths within the ratio is in one pair of blocks
+    blocks, pairs = dedup.blocks_of({10: 5, 11: 5, 300: 25, 302: 3, 900: 1}, 10, 0.95)
+    assert [b for b in blocks if b[1] == 300] == [(1, 300, 3, 0), (2, 300, 3, 1), (3, 300, 3, 2)]
+    assert blocks[:2] == [(0, 10, 1, 0), (0, 11, 1, 0)] and len(set(pairs)) == len(pairs)
+    assert {(1, 1), (1, 2), (1, 3), (2, 3), (3, 4), (4, 4)} <= set(pairs) and (0, 1) not in pairs
+
+
 def test_dedup_similar_chain(spark):
     # each text is similar to its neighbours only, so that a round decides two rows
     n, width = 70, 40

@@ -39,78 +39,154 @@ def seen_hashes(df: DataFrame) -> DataFrame:
     return df.select(text_key().alias("md5")).distinct()
 
 
-def reach(n: np.ndarray, threshold: float) -> np.ndarray:
-    """The most single-character insertions and deletions between a text of ``n`` characters and one at least as long, at a ratio of ``threshold``."""
-    longest = np.floor(n * (2 - threshold) / threshold + 1e-6)
-    return np.floor((1 - threshold) * (n + longest) + 1e-6).astype(np.int64)
-
-
-def bucket_plan(b: int, threshold: float) -> tuple[int, int]:
-    """Of the length bucket ``b``: the size of chunks, so that any text whose partners are in it has more chunks than insertions and deletions, and the width of
-    position buckets, more than any shift."""
-    g = (2 - threshold) / threshold
-    n = np.arange(max(int(g ** (b - 1) * (1 - 1e-5)), 1), int(g ** (b + 1) * (1 + 1e-5)) + 2)
-    return int((n // (reach(n, threshold) + 1)).min()), int(reach(n, threshold).max()) + 1
-
-
-def posted(texts: DataFrame, threshold: float) -> DataFrame:
-    """``texts`` (k, text) as postings: key, k, n (length), p (position) and whole, true for every window of a text in its own length bucket, false for its
-    disjoint chunks in the buckets of partners of the same or a greater length."""
-    g = math.log((2 - threshold) / threshold) if threshold < 1 else 1.0
-
-    def hashed(c: np.ndarray, size: int, b: int, block: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(at), dtype=np.uint64)
-        for i in range(size):
-            h = (h ^ c[at + i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        h = (h ^ (block.astype(np.uint64) * np.uint64(4099) + np.uint64(b + 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        each = [len(x[1]) for x in out]
-        more = {name: np.repeat([x[i] for x in out], each) for i, name in ((2, "k"), (3, "n"), (4, "whole"))}
-        return pd.DataFrame({"key": np.concatenate([x[0] for x in out]), "k": more["k"], "n": more["n"], "p": np.concatenate([x[1] for x in out]), "whole": more["whole"]})
+#: Counts of a text's characters by code point modulo LETTERS, and of its runs of three by hash modulo GRAMS for texts of at least LONG characters: by letters
+#: alone unrelated short texts are told apart. A block has at most BLOCK texts; STEP is the ratio of lengths between neighbouring classes.
+LETTERS, GRAMS, LONG, BLOCK, STEP = 32, 1024, 300, 16_384, 1.01
+
+
+def counted(text: str) -> tuple[int, bytes, bytes]:
+    """Length, letters (two bytes each) and grams (a byte each, empty for short texts) of a text; counts beyond a place's largest number are that number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters = np.minimum(np.bincount(c % LETTERS, minlength=LETTERS), 65535).astype(np.uint16).tobytes()
+    if len(c) < LONG:
+        return len(c), letters, b""
+    h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1]) * np.uint32(0x85EBCA77) ^ c[2:]
+    h = (h * np.uint32(0xC2B2AE3D)) >> np.uint32(22)
+    return len(c), letters, np.minimum(np.bincount(h, minlength=GRAMS), 255).astype(np.uint8).tobytes()
+
+
+def blocks_of(counts: dict[int, int], most: int, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Of the number of texts of each class of lengths the blocks (class, part, parts; classes of few texts share a block's number) and the pairs of blocks, equal
+    ones too, that can hold similar texts. The first list is by block and has a tuple (block, class, parts, part) for each."""
+    out: list[tuple[int, int, int, int]] = []
+    spans: list[tuple[int, int]] = []
+    room = 0
+    for f, n in sorted(counts.items()):
+        if n > most:
+            parts = -(-n // most)
+            out += [(len(spans) + i, f, parts, i) for i in range(parts)]
+            spans += [(f, f)] * parts
+            room = 0
+        elif n <= room:
+            out.append((len(spans) - 1, f, 1, 0))
+            spans[-1] = (spans[-1][0], f)
+            room -= n
+        else:
+            out.append((len(spans), f, 1, 0))
+            spans.append((f, f))
+            room = most - n
+    low, high = lambda f: STEP**f * (1 - 1e-6), lambda f: STEP ** (f + 1) * (1 + 1e-6)
+    pairs = []
+    for i, (_, top) in enumerate(spans):
+        for j in range(i, len(spans)):  # spans ascend
+            if low(spans[j][0]) * threshold > high(top) * (2 - threshold):
+                break
+            pairs.append((i, j))
+    return out, pairs
+
+
+def compare(k: np.ndarray, n: np.ndarray, side: np.ndarray, letters: np.ndarray, grams: dict[int, np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pairs of a pair of blocks that may be similar, in pieces. Rows ascend by ``n``; side: 0 and 1 are compared with each other, 2 among themselves.
+    An insertion or deletion changes one of the letters' counts by one, and five of the runs' at most."""
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    nb, lb = n[b], np.ascontiguousarray(letters[b].T)
+    gb = np.zeros((len(b), GRAMS), dtype=np.uint8) if grams else None
+    long = n >= LONG
+    for at, i in enumerate(b):
+        if i in grams:
+            gb[at] = grams[i]
+    first = np.searchsorted(nb, np.floor(n[a] * threshold / (2 - threshold) * (1 - 1e-9)), "left")
+    last = np.searchsorted(nb, np.ceil(n[a] * (2 - threshold) / threshold * (1 + 1e-9)), "right")
+    x: list[np.ndarray] = []
+    y: list[np.ndarray] = []
+    size = 0
+    for at, (i, lo, hi) in enumerate(zip(a, first, last)):
+        lo = max(lo, at + 1) if side[i] == 2 else lo
+        if lo >= hi:
+            continue
+        own, part = letters[i][:, None], lb[:, lo:hi]
+        far = (np.maximum(part, own) - np.minimum(part, own)).sum(axis=0, dtype=np.uint32)
+        near = lo + np.flatnonzero(far <= (1 - threshold) * (n[i] + nb[lo:hi]) + 1e-6)
+        if len(near) and long[i]:
+            for z in range(0, len(near), 4096):
+                some = near[z : z + 4096]
+                g = gb[some]
+                far = (np.maximum(g, grams[i]) - np.minimum(g, grams[i])).sum(axis=1, dtype=np.uint32)
+                some = some[~long[b[some]] | (far <= 5 * ((1 - threshold) * (n[i] + nb[some]) + 1e-6))]
+                x.append(np.full(len(some), i))
+                y.append(b[some])
+                size += len(some)
+        else:
+            x.append(np.full(len(near), i))
+            y.append(b[near])
+            size += len(near)
+        if size > 200_000:
+            yield k[np.concatenate(x)], k[np.concatenate(y)]
+            x, y, size = [], [], 0
+    if size:
+        yield k[np.concatenate(x)], k[np.concatenate(y)]
+
+
+def candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) of the keys of ``texts`` (k, text; neither repeats) whose lengths and counts of characters and runs let them be similar, each once.
+
+    Texts are dealt into blocks by length, and only blocks of near lengths meet, so that a task holds two blocks of counts and no text. The number of
+    comparisons is still quadratic in the texts of near lengths; each is of some nanoseconds."""
+    spark, kind = texts.sparkSession, texts.schema["k"].dataType.simpleString()
 
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans: dict[int, tuple[int, int]] = {}
         for rows in it:
-            out, size = [], 0
-            for k, text in zip(rows["k"], rows["text"]):
-                c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-                n, x = len(c), math.log(len(c)) / g
-                for b in range(math.floor(x - 1e-6), math.floor(x + 1 + 1e-6) + 1):
-                    s, width = plans.setdefault(b, plans.get(b) or bucket_plan(b, threshold))
-                    jobs = []
-                    if b == math.floor(x):
-                        at = np.arange(n - s + 1) if s else np.zeros(1, dtype=np.int64)
-                        jobs.append((at, at // width, True))
-                    at = np.arange(n // s) * s if s else np.zeros(1, dtype=np.int64)
-                    jobs += [(at, at // width + d, False) for d in (-1, 0, 1)]
-                    for at, block, whole in jobs:
-                        out.append((hashed(c, s, b, block, at), at, k, n, whole))
-                        size += len(at)
-                if size > 200_000:
-                    yield frame(out)
-                    out, size = [], 0
-            if out:
-                yield frame(out)
-
-    return texts.select("k", "text").mapInPandas(of, f"key long, k {texts.schema['k'].dataType.simpleString()}, n int, p int, whole boolean")
+            for at in range(0, len(rows), 1000):
+                p = rows.iloc[at : at + 1000]
+                got = [counted(t) for t in p["text"]]
+                n = np.array([g[0] for g in got], dtype=np.int64)
+                yield pd.DataFrame({"k": p["k"].array, "n": n, "f": np.floor(np.log(n) / math.log(STEP)).astype(np.int32), "letters": [g[1] for g in got], "grams": [g[2] for g in got]})
+
+    every = cut(texts.select("k", "text").mapInPandas(of, f"k {kind}, n long, f int, letters binary, grams binary"), "counts")
+    counts = {r["f"]: r["n"] for r in every.groupBy("f").agg(F.count("*").alias("n")).collect()}  # a row for each class of lengths
+    blocks, pairs = blocks_of(counts, min(BLOCK, max(256, sum(counts.values()) // 32)), threshold)
+    meets: dict[int, list[tuple[int, int]]] = {}
+    for pair, (i, j) in enumerate(pairs):
+        if i == j:
+            meets.setdefault(i, []).append((pair, 2))
+        else:
+            meets.setdefault(i, []).append((pair, 0))
+            meets.setdefault(j, []).append((pair, 1))
+    plan = spark.createDataFrame([(f, parts, part, meets[block]) for block, f, parts, part in blocks], "f int, parts int, part int, meets array<struct<pair:int,side:int>>")
+    dealt = every.join(F.broadcast(plan), "f").filter(F.pmod(F.xxhash64("k"), F.col("parts")) == F.col("part"))
+    dealt = dealt.select("k", "n", "letters", "grams", F.explode("meets").alias("m")).select("m.pair", "m.side", "k", "n", "letters", "grams")
+    dealt = dealt.repartition(min(max(len(pairs), 1), 4000), "pair").sortWithinPartitions("pair", "n")
+
+    def run(got: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(got, ignore_index=True)
+        letters = np.frombuffer(b"".join(p["letters"]), dtype=np.uint16).reshape(len(p), LETTERS)
+        grams = {i: np.frombuffer(g, dtype=np.uint8) for i, g in enumerate(p["grams"]) if g}
+        for x, y in compare(p["k"].to_numpy(), p["n"].to_numpy(), p["side"].to_numpy(), letters, grams, threshold):
+            yield pd.DataFrame({"a": x, "b": y})
+
+    def met(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: list[pd.DataFrame] = []
+        for rows in it:
+            for pair, p in rows.groupby("pair"):  # ascends, as the rows do
+                if got and got[0]["pair"].iloc[0] != pair:
+                    yield from run(got)
+                    got = []
+                got.append(p)
+        if got:
+            yield from run(got)
+
+    found = dealt.mapInPandas(met, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_pairs(df: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
     """Pairs (a < b, ratio) of rows whose texts have a sequence ratio of at least ``threshold``, all of them.
 
-    A ratio is at most 2 * LCS / (n + m), so similar texts differ by at most d = (1 - threshold) * (n + m) insertions and deletions. Each of these breaks at
-    most one of the shorter text's disjoint chunks; of more than d chunks one stands whole in the longer text, at most d characters from its place. Candidates
-    are the pairs with such a chunk; they are compared in full. Equal texts are compared once."""
+    A ratio is at most 2 * LCS / (n + m), so similar texts differ by at most (1 - threshold) * (n + m) insertions and deletions, which bounds how far their
+    counts of characters and of runs of three are apart. Candidates are the pairs within these bounds; they are compared in full. Equal texts are compared once."""
     rows = df.select(F.col(key).alias("k"), "text").filter("k is not null and length(text) > 0")
-    texts = rows.groupBy("text").agg(F.min("k").alias("k"), F.max("k").alias("last"))
-    every = cut(posted(texts, threshold), "postings")
-    a, b = every.filter("not whole").alias("a"), every.filter("whole").alias("b")
-    d = (1 - threshold) * (F.col("a.n") + F.col("b.n")) + 1e-6
-    near = (F.col("a.n") <= F.col("b.n")) & (F.col("b.n") - F.col("a.n") <= d) & (F.abs(F.col("a.p") - F.col("b.p")) <= d)
-    cand = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k") != F.col("b.k")) & near).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b")).distinct()
+    texts = cut(rows.groupBy("text").agg(F.min("k").alias("k"), F.max("k").alias("last")), "texts")
+    cand = cut(candidates(texts, threshold), "candidates")
 
     @F.pandas_udf("double")
     def ratio(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -123,6 +199,7 @@ def similar_pairs(df: DataFrame, key: str, threshold: float = 0.95) -> DataFrame
 
     # a ratio depends on the order of its texts; the other order is needed if a row of the second text is before one of the first
     both = cand.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta"), F.col("last").alias("la")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
+    both = both.repartition(min(max(df.sparkSession.sparkContext.defaultParallelism, cand.count() // 5000), 4000))  # few bytes, but long work
     ordered = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("ta").alias("x"), F.col("tb").alias("y")), F.when(F.col("b") < F.col("la"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tb").alias("x"), F.col("ta").alias("y"))))
     found = both.select(F.explode(ordered).alias("o")).filter("o is not null").select("o.*").withColumn("ratio", ratio("x", "y")).filter(F.col("ratio") >= threshold).select("a", "b", "ratio")
     same = texts.filter("k < last").select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("ratio"))
