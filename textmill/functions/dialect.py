@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions import counts
+
 
 class Spark:
     """Catalyst; regular expressions with Unicode classes, as text of any language needs."""
@@ -17,6 +19,10 @@ class Spark:
     def has(self, col: str, pattern: str) -> str:
         return f'({col} rlike r"(?U){pattern}")'
 
+    def ordered(self, col: str, first: str, then: str) -> str:
+        """How many pairs of a sentence with the first pattern and a later one with the second a text has; for ``evaluate`` only."""
+        return f'ordered_pairs({col}, r"(?U){first}", r"(?U){then}")'
+
     def size(self, arr: str) -> str:
         return f"size({arr})"
 
@@ -104,6 +110,30 @@ def doubles(sql: str) -> str:
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql)
 
 
+_CALLS = re.compile(r'regexp_count\((_l|_t), r"\(\?U\)([^"]*)"\)|\((_l|_t) rlike r"\(\?U\)([^"]*)"\)|ordered_pairs\((_l|_t), r"\(\?U\)([^"]*)", r"\(\?U\)([^"]*)"\)')
+
+
+def counted(formulas: dict[str, str]) -> tuple[dict[str, str], list[str], list[tuple[int, str, tuple[str, ...]]]]:
+    """``formulas`` with places of the array _n where they count or look for patterns in whole texts, each once, and what _n is made of."""
+    texts: list[str] = []
+    jobs: dict[tuple[int, str, tuple[str, ...]], int] = {}
+
+    def place(m: re.Match) -> str:
+        col = m[1] or m[3] or m[5]
+        what = "count" if m[1] else "has" if m[3] else "ordered"
+        made = [counts.automaton(p, what == "count") for p in m.groups()[1::2] + m.groups()[6:] if p is not None]
+        if None in made:
+            return m[0]
+        if col not in texts:
+            texts.append(col)
+        at = jobs.setdefault((texts.index(col), what, tuple(made)), len(jobs))
+        return f"(_n[{at}] > 0)" if what == "has" else f"_n[{at}]"
+
+    return {k: _CALLS.sub(place, sql) for k, sql in formulas.items()}, texts, list(jobs)
+
+
 def evaluate(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
-    """``df`` (prepared) with a column for each formula."""
-    return df.select("*", *[F.expr(doubles(sql)).alias(name) for name, sql in formulas.items()])
+    """``df`` (prepared) with a column for each formula. Patterns in whole texts are counted in one pass over Arrow batches."""
+    made, texts, jobs = counted(formulas)
+    out = df.withColumn("_n", counts.counts([counts.plain(F.col(c)) for c in texts], jobs)) if jobs else df
+    return out.select(*df.columns, *[F.expr(doubles(sql)).alias(name) for name, sql in made.items()])

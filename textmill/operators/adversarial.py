@@ -89,14 +89,8 @@ def _words(d: Spark) -> str:
 
 
 def contradictions(d: Spark) -> dict[str, str]:
-    """How many pairs of an earlier sentence with a cue and a later one with its opposite there are: one pass over the sentences for each cue, carrying
-    how many of the earlier ones had it. Spark only; the oracle counts pairs."""
-    low = d.map("_s", "lower(x)")
-    parts = []
-    for pos, neg in CONTRADICTIONS:
-        step = f"(a, x) -> named_struct('p', a.p + cast({d.has('x', pos)} as bigint), 'n', a.n + if({d.has('x', neg)}, a.p, 0L))"
-        parts.append(f"aggregate({low}, named_struct('p', 0L, 'n', 0L), {step}, a -> a.n)")
-    return {"contradictions": " + ".join(parts)}
+    """How many pairs of an earlier sentence with a cue and a later one with its opposite there are. Spark only; the oracle counts pairs."""
+    return {"contradictions": " + ".join(d.ordered("_l", pos, neg) for pos, neg in CONTRADICTIONS)}
 
 
 def review() -> dict[str, str]:
