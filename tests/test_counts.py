@@ -5,12 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from textmill.functions import counts
-from textmill.functions.dialect import SPARK, counted, evaluate, prepare
+from textmill.functions.dialect import MEASURES, SPARK, counted, doubles, evaluate, prepare
 from textmill.operators import adversarial, metacognition, semantic_quality
 
 GROUPS = [adversarial.bias, adversarial.harm, adversarial.fairness, adversarial.robustness, metacognition.confidence, metacognition.complexity, metacognition.prerequisites, metacognition.objectives, metacognition.load, metacognition.features, metacognition.reasoning_types]
 WORDS = "women are naturally better at in with worse men usually less 45% 12.5% 1999 ١٩٩٩ 19٣9 is not isn't e.g. i.e. viz. dr. ph.d NASA DNA biology motion physics i think break down need to know according to studies show fake media government old people person slow disabled burden all none every always some ; : ? ! _ x y".split(" ")
-ODD = [" ", " ", " ", " ", "\n", "\r", "\r\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "-", "'", "é", "ß", "́", "²", "Ⅷ", "ⓐ", "‍", "‿", "٣", "𝟗", "😀", "�", "%", "", ".", "_", "\x00"]
+ODD = [" ", " ", " ", " ", "\n", "\r", "\r\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "-", "'", "é", "ß", "́", "²", "Ⅷ", "ⓐ", "‍", "‿", "٣", "𝟗", "😀", "�", "%", "", "İ", "K", "Σ", "! ", ".", ". However ", " for example ", "on the other hand", "cries", "e ", ".", "_", "\x00"]
 
 
 def formulas():
@@ -25,16 +25,31 @@ def test_counts_are_those_of_spark(spark):
     rows = [(i, "".join(rng.choice(WORDS) + rng.choice(ODD) for _ in range(rng.randrange(60)))) for i in range(400)] + [(400, None), (401, "")]
     df = prepare(spark.createDataFrame(rows, "doc_id long, text string")).cache()
     made, texts, jobs = counted(formulas())
-    assert texts == ["_l", "_t"] and len(jobs) > 100 and not any("(?U)" in sql and ("(_l" in sql or "(_t" in sql) for sql in made.values())
+    assert texts == ["_l", "_t"] and len(jobs) > 100 and not any(x in sql for sql in made.values() for x in ("count(_", "(_l rlike", "(_t rlike"))
     found = df.select("doc_id", counts.counts([counts.plain(F.col(c)) for c in texts], jobs).alias("n"))
     got = {r["doc_id"]: r["n"] for r in found.collect()}
-    spelled = [(texts[at], what, p) for (at, what, _), p in zip(jobs, originals())]
+    ours = [i for i, (_, what, _) in enumerate(jobs) if what in ("count", "has")]
+    spelled = [(texts[jobs[i][0]], jobs[i][1], p) for i, p in zip(ours, originals(), strict=True)]
     want = df.select("doc_id", F.array(*[F.expr(f'cast(regexp_count({c}, r"(?U){p}") as bigint)' if what == "count" else f'cast({c} rlike r"(?U){p}" as bigint)') for c, what, p in spelled]).alias("n"))
     for r in want.collect():
-        assert r["n"] == got[r["doc_id"]]
+        assert r["n"] == [got[r["doc_id"]][i] for i in ours]
     assert sum(x > 0 for n in got.values() for x in n) > 3000
 
 
+def test_scores_are_those_of_the_formulas(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(WORDS) + rng.choice(ODD) for _ in range(rng.randrange(60)))) for i in range(300)] + [(300, None), (301, ""), (302, " "), (303, "..."), (304, "İstanbulİ E.e")]
+    df = prepare(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).cache()
+    plain = {k: f"({v})" for k, v in formulas().items()} | {f"m{i}": sql for i, sql in enumerate(MEASURES)}
+    made = counted(plain)[0]
+    assert not any(x in sql for k, sql in made.items() for x in ("(_w", "(_s", "(_p") if k != "lexical_diversity")
+    got = {r["doc_id"]: r for r in evaluate(df, plain).select("doc_id", *plain).collect()}
+    for r in df.select("doc_id", *[F.expr(doubles(sql)).alias(k) for k, sql in plain.items()]).collect():
+        assert r.asDict() == got[r["doc_id"]].asDict()
+    old = df.select("_w", "_s", F.expr(r"filter(split(_t, '(?U)\\s+'), x -> x <> '')").alias("w"), F.expr(r"filter(transform(_p, x -> regexp_replace(x, '(?U)^\\s+|\\s+$', '')), x -> x <> '')").alias("s")).collect()
+    assert all(r["_w"] == r["w"] and r["_s"] == r["s"] for r in old)
+
+
 def originals():
     """The patterns of the jobs as the formulas spell them, in their order."""
     import re

@@ -1,4 +1,4 @@
-"""Counts of regular expressions over texts, many at once, by Arrow's automata.
+"""Counts of regular expressions, words and sentences over texts, many at once, by Arrow's automata and in numpy.
 
 A text is first made plain by Spark: each character beyond ASCII becomes one of its class in Java's Unicode sense (``_`` for a word character, ``0`` for a
 digit, a tab or a new line for a space, ``~`` else), so that ASCII classes then tell what Unicode classes would. Patterns that could tell these characters
@@ -8,7 +8,7 @@ apart, or whose matches depend on what is before them, are not taken.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from re import _constants as K
 from re import _parser
 
@@ -106,47 +106,134 @@ def automaton(pattern: str, counted: bool) -> str | None:
     return pattern if _bounded(parsed, -1) else rf"(?:{pattern})\w*"
 
 
-def _ordered(texts: pa.Array, first: str, then: str) -> np.ndarray:
-    """Of each text how many pairs of a sentence with ``first`` and a later one with ``then`` there are."""
-    parts = pc.split_pattern_regex(texts, "[.!?]+")
-    flat = parts.flatten()
-    a, b = (pc.match_substring_regex(flat, p).to_numpy(zero_copy_only=False) for p in (first, then))
-    ends = np.diff(parts.offsets.to_numpy()).cumsum()
-    begins = np.concatenate([[0], ends[:-1]])
-    before = np.concatenate([[0], a.astype(np.int64).cumsum()])
-    own = np.repeat(np.arange(len(ends)), ends - begins)
-    pairs = np.where(b, before[:-1] - before[begins][own], 0)
-    total = np.concatenate([[0], pairs.cumsum()])
-    return total[ends] - total[begins]
+def _table(chars: str) -> np.ndarray:
+    t = np.zeros(256, dtype=bool)
+    t[[ord(c) for c in chars]] = True
+    return t
+
+
+_SPACE, _END, _VOWEL = _table("\t\n\x0b\x0c\r "), _table(".!?"), _table("aeiouy")
+
+
+class Texts:
+    """Plain texts with what is measured of them; what several measures need is made once."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts, self.n = texts, len(texts)
+        self.made: dict[str, object] = {}
+        off = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=self.n + 1, offset=4 * texts.offset) if self.n else np.zeros(1, dtype=np.int32)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+        self.off, self.data = (off - off[0]).astype(np.int64), data
+        self.begins = np.zeros(len(data) + 1, dtype=bool)  # the last place is of empty texts at the end
+        self.begins[self.off[:-1]] = True
+
+    def once(self, name: str, make: Callable[[], object]) -> object:
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.off, at, "right") - 1
+
+    def by_doc(self, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.doc(at), weights=weights, minlength=self.n).astype(np.int64)
+
+    def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of the runs of ``mask`` inside texts."""
+        if not len(mask):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        first, last = mask.copy(), mask.copy()
+        first[1:] &= ~mask[:-1] | self.begins[1:-1]
+        last[:-1] &= ~mask[1:] | self.begins[1:-1]
+        return np.flatnonzero(first), np.flatnonzero(last)
+
+    def space(self) -> np.ndarray:
+        return self.once("space", lambda: _SPACE[self.data])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.once("words", lambda: self.runs(~self.space()))
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each part between sentence ends that has words the text and the number of words."""
+
+        def make() -> tuple[np.ndarray, np.ndarray]:
+            end = _END[self.data]
+            first, _ = self.runs(~self.space() & ~end)
+            doc, ends = self.doc(first), end.cumsum()[first] if len(first) else first
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (ends[1:] != ends[:-1])])) if len(first) else first
+            return doc[new], np.diff(np.append(new, len(first)))
+
+        return self.once("parts", make)
+
+    def sentences(self) -> pa.ListArray:
+        return self.once("sentences", lambda: pc.split_pattern_regex(self.texts, "[.!?]+"))
+
+    def of_sentences(self, holds: pa.Array) -> np.ndarray:
+        """How many sentences of each text a boolean for each is true of."""
+        off = self.sentences().offsets.to_numpy()
+        total = np.concatenate([[0], holds.to_numpy(zero_copy_only=False).astype(np.int64).cumsum()])
+        return total[off[1:] - off[0]] - total[off[:-1] - off[0]]
+
+    def ordered(self, first: str, then: str) -> np.ndarray:
+        """How many pairs of a sentence with ``first`` and a later one with ``then`` there are."""
+        off = self.sentences().offsets.to_numpy()
+        flat, begins, ends = self.sentences().flatten(), off[:-1] - off[0], off[1:] - off[0]
+        a, b = (pc.match_substring_regex(flat, p).to_numpy(zero_copy_only=False) for p in (first, then))
+        before = np.concatenate([[0], a.astype(np.int64).cumsum()])
+        total = np.concatenate([[0], np.where(b, before[:-1] - before[np.repeat(begins, ends - begins)], 0).cumsum()])
+        return total[ends] - total[begins]
+
+    def measure(self, what: str, *more: str) -> np.ndarray:
+        if what == "count":
+            return pc.count_substring_regex(self.texts, more[0]).to_numpy(zero_copy_only=False)
+        if what == "has":
+            return pc.match_substring_regex(self.texts, more[0]).to_numpy(zero_copy_only=False)
+        if what == "ordered":
+            return self.ordered(*more)
+        if what == "sentences_with":
+            return self.of_sentences(pc.match_substring(self.sentences().flatten(), more[0]))
+        if what == "letters":
+            return self.by_doc(np.flatnonzero(~self.space()))
+        if what == "ends":  # parts between sentence ends, empty ones too
+            return self.by_doc(self.runs(_END[self.data])[0]) + 1
+        if what in ("sentences", "part_words", "long_sentences"):
+            doc, n = self.parts()
+            weights = None if what == "sentences" else n if what == "part_words" else n > 20
+            return np.bincount(doc, weights=weights, minlength=self.n).astype(np.int64)
+        first, last = self.words()
+        if what == "words":
+            return self.by_doc(first)
+        if what == "long_words":
+            return self.by_doc(first[last - first + 1 > 6])
+        if what == "syllables":
+            begun = np.zeros(len(self.data) + 1, dtype=np.int64)
+            begun[self.runs(_VOWEL[self.data])[0] + 1] = 1
+            begun = begun.cumsum()
+            runs = begun[last + 1] - begun[first]
+            return self.by_doc(first, np.maximum(runs - ((self.data[last] == ord("e")) & (runs > 1)), 1))
+        raise ValueError(f"unknown measure {what}")
 
 
 def counts(texts: list[Column], jobs: list[tuple[int, str, tuple[str, ...]]]) -> Column:
-    """An array of the results of ``jobs``: (number of the plain text, "count", "has" or "ordered", patterns of ``automaton``)."""
-
-    def one(a: list[pa.Array]) -> pa.Array:
-        out = []
-        for at, what, patterns in jobs:
-            if what == "count":
-                out.append(pc.count_substring_regex(a[at], patterns[0]).to_numpy(zero_copy_only=False))
-            elif what == "has":
-                out.append(pc.match_substring_regex(a[at], patterns[0]).to_numpy(zero_copy_only=False))
-            else:
-                out.append(_ordered(a[at], *patterns))
-        n = len(a[0])
-        values = np.stack([np.asarray(x, dtype=np.int64) for x in out], axis=1).ravel()
+    """An array of the results of ``jobs``: (number of the plain text, measure of ``Texts``, patterns of ``automaton`` or words)."""
+
+    def one(a: list[Texts]) -> pa.Array:
+        n = a[0].n
+        values = np.stack([np.asarray(a[at].measure(what, *more), dtype=np.int64) for at, what, more in jobs], axis=1).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(jobs)), pa.array(values))
 
-    def ready(a: pa.Array) -> pa.Array:
+    def ready(a: pa.Array) -> Texts:
+        a = pc.fill_null(a, "")
         for c, to in (("\r", "\n"), ("\x0b", "\t")):
             a = pc.replace_substring(a, c, to)
-        return pc.fill_null(a, "")
+        return Texts(a)
 
     @F.arrow_udf("array<bigint>")
     def of(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in it:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            for at in range(0, len(columns[0]), 1000):  # what is made of a text is held for a slice only
-                yield one([ready(c.slice(at, 1000)) for c in columns])
+            for at in range(0, len(columns[0]), 500):  # what is made of a text is held for a slice only
+                yield one([ready(c.slice(at, 500)) for c in columns])
             if not len(columns[0]):
                 yield pa.array([], pa.list_(pa.int64()))
 

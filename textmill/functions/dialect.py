@@ -88,13 +88,17 @@ class Duck(Spark):
 SPARK, DUCK = Spark(), Duck()
 
 
+#: What Java's Unicode class of white space has.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def prepare(df: DataFrame) -> DataFrame:
     """Columns that formulas use: _t text, _l lower case, _w words, _p parts between sentence ends, _s trimmed parts that are not empty. A null text is empty."""
     t = F.coalesce("text", F.lit(""))
     out = df.withColumn("_t", t).withColumn("_l", F.lower("_t"))
-    out = out.withColumn("_w", F.expr(r"filter(split(_t, '(?U)\\s+'), x -> x <> '')"))
+    out = out.withColumn("_w", F.expr(r"array_remove(split(_t, '(?U)\\s+'), '')"))
     out = out.withColumn("_p", F.expr("split(_t, '[.!?]+')"))
-    return out.withColumn("_s", F.expr(r"filter(transform(_p, x -> regexp_replace(x, '(?U)^\\s+|\\s+$', '')), x -> x <> '')"))
+    return out.withColumn("_s", F.array_remove(F.transform("_p", lambda x: F.btrim(x, F.lit(SPACES))), ""))
 
 
 def duck_prepared(source: str, keep: str = "doc_id") -> str:
@@ -111,29 +115,56 @@ def doubles(sql: str) -> str:
 
 
 _CALLS = re.compile(r'regexp_count\((_l|_t), r"\(\?U\)([^"]*)"\)|\((_l|_t) rlike r"\(\?U\)([^"]*)"\)|ordered_pairs\((_l|_t), r"\(\?U\)([^"]*)", r"\(\?U\)([^"]*)"\)')
+_IN_SENTENCES = re.compile(r"size\(filter\(_s, x -> contains\(lower\(x\), '([A-Za-z ]+)'\)\)\)")
+_N_WORDS = r'regexp_count(x, r"(?U)\S+")'
+#: Expressions over the words and sentences of a prepared text, and the measure that is the same: of the text itself if it counts characters, which lower-casing
+#: can add to, else of the lower-cased one.
+MEASURES = {
+    SPARK.total(SPARK.map("_p", _N_WORDS)): "part_words",
+    SPARK.total(SPARK.map("_s", _N_WORDS)): "part_words",
+    SPARK.size(SPARK.filter("_s", f"{_N_WORDS} > 20")): "long_sentences",
+    SPARK.size(SPARK.filter("_w", "length(x) > 6")): "long_words",
+    f"length({SPARK.join('_w')})": "letters",
+    SPARK.size("_w"): "words",
+    SPARK.size("_s"): "sentences",
+    SPARK.size("_p"): "ends",
+}
+#: Expressions that are others, in Spark's own functions rather than by a lambda: lower-casing does not move the spaces between words.
+SAME = {SPARK.distinct(SPARK.map("_w", "lower(x)")): r"array_distinct(array_remove(split(_l, '(?U)\\s+'), ''))"}
 
 
 def counted(formulas: dict[str, str]) -> tuple[dict[str, str], list[str], list[tuple[int, str, tuple[str, ...]]]]:
-    """``formulas`` with places of the array _n where they count or look for patterns in whole texts, each once, and what _n is made of."""
+    """``formulas`` with places of the array _n where they measure whole texts, each once, and what _n is made of."""
     texts: list[str] = []
     jobs: dict[tuple[int, str, tuple[str, ...]], int] = {}
 
+    def job(col: str, what: str, *more: str) -> str:
+        if col not in texts:
+            texts.append(col)
+        return f"_n[{jobs.setdefault((texts.index(col), what, more), len(jobs))}]"
+
     def place(m: re.Match) -> str:
-        col = m[1] or m[3] or m[5]
         what = "count" if m[1] else "has" if m[3] else "ordered"
-        made = [counts.automaton(p, what == "count") for p in m.groups()[1::2] + m.groups()[6:] if p is not None]
+        made = [counts.automaton(p, what == "count") for p in (m[2], m[4], m[6], m[7]) if p is not None]
         if None in made:
             return m[0]
-        if col not in texts:
-            texts.append(col)
-        at = jobs.setdefault((texts.index(col), what, tuple(made)), len(jobs))
-        return f"(_n[{at}] > 0)" if what == "has" else f"_n[{at}]"
+        at = job(m[1] or m[3] or m[5], what, *made)
+        return f"({at} > 0)" if what == "has" else at
 
-    return {k: _CALLS.sub(place, sql) for k, sql in formulas.items()}, texts, list(jobs)
+    out = {}
+    for name, sql in formulas.items():
+        sql = _IN_SENTENCES.sub(lambda m: job("_l", "sentences_with", m[1].lower()), _CALLS.sub(place, sql))
+        for old, what in MEASURES.items():
+            if old in sql:
+                sql = sql.replace(old, job("_t" if what in ("letters", "long_words") else "_l", what))
+        for old, new in SAME.items():
+            sql = sql.replace(old, new)
+        out[name] = sql
+    return out, texts, list(jobs)
 
 
 def evaluate(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
-    """``df`` (prepared) with a column for each formula. Patterns in whole texts are counted in one pass over Arrow batches."""
+    """``df`` (prepared) with a column for each formula. Whole texts are measured in one pass over Arrow batches."""
     made, texts, jobs = counted(formulas)
     out = df.withColumn("_n", counts.counts([counts.plain(F.col(c)) for c in texts], jobs)) if jobs else df
     return out.select(*df.columns, *[F.expr(doubles(sql)).alias(name) for name, sql in made.items()])

@@ -111,9 +111,10 @@ def screen(df: DataFrame) -> DataFrame:
     """``df`` (doc_id, text) with all scores, requires_review and issues."""
     out = prepare(df)
     f = {**bias(SPARK), **harm(SPARK), **robustness(SPARK), **contradictions(SPARK)}
+    f["contradiction_score"] = f"({f['contradictions']}) / greatest(size(_s), 1)"
     late = ("bias_score", "harm_score", "harm_level")
     out = evaluate(out, {k: v for k, v in f.items() if k not in late})
-    out = evaluate(out, {**{k: f[k] for k in late}, "contradiction_score": "contradictions / greatest(size(_s), 1)"})
+    out = evaluate(out, {k: f[k] for k in late})
     return evaluate(out, {**review(), "issues": issues(SPARK)})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
+from textmill.functions.dialect import MEASURES, SPARK, Spark, evaluate, prepare
 
 # The patterns and weights below define the scores.
 AUTHORITY = {
@@ -103,6 +103,9 @@ def syllables(d: Spark, x: str) -> str:
     return f"greatest({runs} - CASE WHEN {ends} AND {runs} > 1 THEN 1 ELSE 0 END, 1)"
 
 
+MEASURES[SPARK.total(SPARK.map("_w", syllables(SPARK, "lower(x)")))] = "syllables"
+
+
 def readability(d: Spark) -> str:
     syl = d.total(d.map("_w", syllables(d, "lower(x)")))
     s = f"206.835 - 1.015 * ({d.size('_w')} / ({d.size('_s')} * 1.0)) - 84.6 * ({syl} / ({d.size('_w')} * 1.0))"
