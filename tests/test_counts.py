@@ -26,7 +26,7 @@ def test_counts_are_those_of_spark(spark):
     df = prepare(spark.createDataFrame(rows, "doc_id long, text string")).cache()
     made, texts, jobs = counted(formulas())
     assert texts == ["_l", "_t"] and len(jobs) > 100 and not any(x in sql for sql in made.values() for x in ("count(_", "(_l rlike", "(_t rlike"))
-    found = df.select("doc_id", counts.counts([counts.plain(F.col(c)) for c in texts], jobs).alias("n"))
+    found = df.select("doc_id", counts.counts(spark, [F.col(c) for c in texts], jobs).alias("n"))
     got = {r["doc_id"]: r["n"] for r in found.collect()}
     ours = [i for i, (_, what, _) in enumerate(jobs) if what in ("count", "has")]
     spelled = [(texts[jobs[i][0]], jobs[i][1], p) for i, p in zip(ours, originals(), strict=True)]

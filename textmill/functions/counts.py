@@ -1,6 +1,6 @@
 """Counts of regular expressions, words and sentences over texts, many at once, by Arrow's automata and in numpy.
 
-A text is first made plain by Spark: each character beyond ASCII becomes one of its class in Java's Unicode sense (``_`` for a word character, ``0`` for a
+A text is first made plain: each character beyond ASCII becomes one of its class in Java's Unicode sense, by a table that Spark's regular expressions fill (``_`` for a word character, ``0`` for a
 digit, a tab or a new line for a space, ``~`` else), so that ASCII classes then tell what Unicode classes would. Patterns that could tell these characters
 apart, or whose matches depend on what is before them, are not taken.
 """
@@ -8,6 +8,7 @@ apart, or whose matches depend on what is before them, are not taken.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from re import _constants as K
 from re import _parser
@@ -15,7 +16,7 @@ from re import _parser
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _ALLOWED = {K.LITERAL, K.IN, K.RANGE, K.CATEGORY, K.ANY, K.BRANCH, K.SUBPATTERN, K.MAX_REPEAT, K.AT}
@@ -28,7 +29,23 @@ def plain(text: Column) -> Column:
     out = text
     for kind, to in ((r"[[^\x00-\x7F]&&\p{Nd}]", "0"), (r"[[^\x00-\x7F]&&\w]", "_"), (r"[\u0085\u2028\u2029]", "\n"), (r"[[^\x00-\x7F]&&\s]", "\t"), (r"[^\x00-\x7F]", "~")):
         out = F.regexp_replace(out, "(?U)" + kind, to)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
+    return out
+
+
+_TABLES: list[bytes] = []
+
+
+def table(spark: SparkSession) -> bytes:
+    """``plain`` of each code point, compressed; made once by a job of one row."""
+    if not _TABLES:
+        points = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+        made = spark.createDataFrame([("".join(map(chr, points)),)], "text string").select(plain(F.col("text"))).first()[0]
+        full = np.full(0x110000, ord("~"), dtype=np.uint8)
+        full[:128] = np.arange(128)
+        full[ord("\r")], full[0x0B] = ord("\n"), ord("\t")  # as ends of lines and spaces that automata know
+        full[points] = np.frombuffer(made.encode("ascii"), dtype=np.uint8)
+        _TABLES.append(zlib.compress(full.tobytes()))
+    return _TABLES[0]
 
 
 def _items(parsed: object) -> Iterator[tuple]:
@@ -112,20 +129,30 @@ def _table(chars: str) -> np.ndarray:
     return t
 
 
+#: Runs of what Java's Unicode class of white space has.
+_GAPS = re.compile("[\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SPACE, _END, _VOWEL = _table("\t\n\x0b\x0c\r "), _table(".!?"), _table("aeiouy")
 
 
 class Texts:
     """Plain texts with what is measured of them; what several measures need is made once."""
 
-    def __init__(self, texts: pa.Array):
-        self.texts, self.n = texts, len(texts)
-        self.made: dict[str, object] = {}
+    def __init__(self, texts: pa.Array, to: np.ndarray):
+        self.n, self.made = len(texts), {}
         off = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=self.n + 1, offset=4 * texts.offset) if self.n else np.zeros(1, dtype=np.int32)
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
-        self.off, self.data = (off - off[0]).astype(np.int64), data
-        self.begins = np.zeros(len(data) + 1, dtype=bool)  # the last place is of empty texts at the end
-        self.begins[self.off[:-1]] = True
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+        off = (off - off[0]).astype(np.int64)
+        try:
+            self.whole = raw.tobytes().decode()
+            if len(self.whole) < len(raw):
+                off = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
+        except UnicodeDecodeError:
+            each = [raw[i:j].tobytes().decode(errors="replace") for i, j in zip(off[:-1], off[1:])]
+            self.whole, off = "".join(each), np.cumsum([0, *map(len, each)])
+        self.off, self.data = off, to[np.frombuffer(self.whole.encode("utf-32-le"), dtype=np.uint32)]
+        self.texts = pa.Array.from_buffers(pa.string(), self.n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(self.data)])
+        self.begins = np.zeros(len(self.data) + 1, dtype=bool)  # the last place is of empty texts at the end
+        self.begins[off[:-1]] = True
 
     def once(self, name: str, make: Callable[[], object]) -> object:
         if name not in self.made:
@@ -159,25 +186,36 @@ class Texts:
         def make() -> tuple[np.ndarray, np.ndarray]:
             end = _END[self.data]
             first, _ = self.runs(~self.space() & ~end)
-            doc, ends = self.doc(first), end.cumsum()[first] if len(first) else first
+            doc, ends = self.doc(first), end.cumsum(dtype=np.int32)[first] if len(first) else first
             new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (ends[1:] != ends[:-1])])) if len(first) else first
             return doc[new], np.diff(np.append(new, len(first)))
 
         return self.once("parts", make)
 
-    def sentences(self) -> pa.ListArray:
-        return self.once("sentences", lambda: pc.split_pattern_regex(self.texts, "[.!?]+"))
-
-    def of_sentences(self, holds: pa.Array) -> np.ndarray:
-        """How many sentences of each text a boolean for each is true of."""
-        off = self.sentences().offsets.to_numpy()
-        total = np.concatenate([[0], holds.to_numpy(zero_copy_only=False).astype(np.int64).cumsum()])
-        return total[off[1:] - off[0]] - total[off[:-1] - off[0]]
+    def sentences_with(self, word: str) -> np.ndarray:
+        """How many sentences of each text hold ``word``, which has no end of a sentence."""
+        data, at = self.once("bytes", self.data.tobytes), []
+        i = data.find(word.encode())
+        while i >= 0:
+            at.append(i)
+            i = data.find(word.encode(), i + 1)
+        found = np.array(at, dtype=np.int64)
+        doc = self.doc(found)
+        found, doc = (x[doc == self.doc(found + len(word) - 1)] for x in (found, doc))
+        ends = self.once("ends", lambda: _END[self.data].cumsum(dtype=np.int32))[found] if len(found) else found
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (ends[1:] != ends[:-1])])) if len(found) else found
+        return np.bincount(doc[new], minlength=self.n)
+
+    def different(self) -> np.ndarray:
+        """How many different words each text has."""
+        split = _GAPS.split if any(c in self.whole for c in "\x1c\x1d\x1e\x1f") else str.split  # which takes these for spaces
+        return np.array([len({*split(self.whole[i:j])} - {""}) for i, j in zip(self.off[:-1], self.off[1:])], dtype=np.int64)
 
     def ordered(self, first: str, then: str) -> np.ndarray:
         """How many pairs of a sentence with ``first`` and a later one with ``then`` there are."""
-        off = self.sentences().offsets.to_numpy()
-        flat, begins, ends = self.sentences().flatten(), off[:-1] - off[0], off[1:] - off[0]
+        sentences = self.once("sentences", lambda: pc.split_pattern_regex(self.texts, "[.!?]+"))
+        off = sentences.offsets.to_numpy()
+        flat, begins, ends = sentences.flatten(), off[:-1] - off[0], off[1:] - off[0]
         a, b = (pc.match_substring_regex(flat, p).to_numpy(zero_copy_only=False) for p in (first, then))
         before = np.concatenate([[0], a.astype(np.int64).cumsum()])
         total = np.concatenate([[0], np.where(b, before[:-1] - before[np.repeat(begins, ends - begins)], 0).cumsum()])
@@ -191,9 +229,12 @@ class Texts:
         if what == "ordered":
             return self.ordered(*more)
         if what == "sentences_with":
-            return self.of_sentences(pc.match_substring(self.sentences().flatten(), more[0]))
+            return self.sentences_with(*more)
+        if what == "different":
+            return self.different()
         if what == "letters":
-            return self.by_doc(np.flatnonzero(~self.space()))
+            total = np.concatenate([[0], (~self.space()).cumsum(dtype=np.int64)])[self.off]
+            return total[1:] - total[:-1]
         if what == "ends":  # parts between sentence ends, empty ones too
             return self.by_doc(self.runs(_END[self.data])[0]) + 1
         if what in ("sentences", "part_words", "long_sentences"):
@@ -214,26 +255,22 @@ class Texts:
         raise ValueError(f"unknown measure {what}")
 
 
-def counts(texts: list[Column], jobs: list[tuple[int, str, tuple[str, ...]]]) -> Column:
-    """An array of the results of ``jobs``: (number of the plain text, measure of ``Texts``, patterns of ``automaton`` or words)."""
+def counts(spark: SparkSession, texts: list[Column], jobs: list[tuple[int, str, tuple[str, ...]]]) -> Column:
+    """An array of the results of ``jobs``: (number of the text, measure of ``Texts``, patterns of ``automaton`` or words)."""
+    packed = table(spark)
 
     def one(a: list[Texts]) -> pa.Array:
         n = a[0].n
         values = np.stack([np.asarray(a[at].measure(what, *more), dtype=np.int64) for at, what, more in jobs], axis=1).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(jobs)), pa.array(values))
 
-    def ready(a: pa.Array) -> Texts:
-        a = pc.fill_null(a, "")
-        for c, to in (("\r", "\n"), ("\x0b", "\t")):
-            a = pc.replace_substring(a, c, to)
-        return Texts(a)
-
     @F.arrow_udf("array<bigint>")
     def of(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        to = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
         for batch in it:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            for at in range(0, len(columns[0]), 500):  # what is made of a text is held for a slice only
-                yield one([ready(c.slice(at, 500)) for c in columns])
+            for at in range(0, len(columns[0]), 200):  # what is made of a text is held for a slice only
+                yield one([Texts(pc.fill_null(c.slice(at, 200), ""), to) for c in columns])
             if not len(columns[0]):
                 yield pa.array([], pa.list_(pa.int64()))
 

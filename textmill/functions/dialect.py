@@ -120,6 +120,7 @@ _N_WORDS = r'regexp_count(x, r"(?U)\S+")'
 #: Expressions over the words and sentences of a prepared text, and the measure that is the same: of the text itself if it counts characters, which lower-casing
 #: can add to, else of the lower-cased one.
 MEASURES = {
+    SPARK.size(SPARK.distinct(SPARK.map("_w", "lower(x)"))): "different",
     SPARK.total(SPARK.map("_p", _N_WORDS)): "part_words",
     SPARK.total(SPARK.map("_s", _N_WORDS)): "part_words",
     SPARK.size(SPARK.filter("_s", f"{_N_WORDS} > 20")): "long_sentences",
@@ -129,8 +130,6 @@ MEASURES = {
     SPARK.size("_s"): "sentences",
     SPARK.size("_p"): "ends",
 }
-#: Expressions that are others, in Spark's own functions rather than by a lambda: lower-casing does not move the spaces between words.
-SAME = {SPARK.distinct(SPARK.map("_w", "lower(x)")): r"array_distinct(array_remove(split(_l, '(?U)\\s+'), ''))"}
 
 
 def counted(formulas: dict[str, str]) -> tuple[dict[str, str], list[str], list[tuple[int, str, tuple[str, ...]]]]:
@@ -157,8 +156,6 @@ def counted(formulas: dict[str, str]) -> tuple[dict[str, str], list[str], list[t
         for old, what in MEASURES.items():
             if old in sql:
                 sql = sql.replace(old, job("_t" if what in ("letters", "long_words") else "_l", what))
-        for old, new in SAME.items():
-            sql = sql.replace(old, new)
         out[name] = sql
     return out, texts, list(jobs)
 
@@ -166,5 +163,5 @@ def counted(formulas: dict[str, str]) -> tuple[dict[str, str], list[str], list[t
 def evaluate(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """``df`` (prepared) with a column for each formula. Whole texts are measured in one pass over Arrow batches."""
     made, texts, jobs = counted(formulas)
-    out = df.withColumn("_n", counts.counts([counts.plain(F.col(c)) for c in texts], jobs)) if jobs else df
+    out = df.withColumn("_n", counts.counts(df.sparkSession, [F.col(c) for c in texts], jobs)) if jobs else df
     return out.select(*df.columns, *[F.expr(doubles(sql)).alias(name) for name, sql in made.items()])
