@@ -95,8 +95,8 @@ def clean_documents(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFram
 def hash_matches(text: Column, pattern: str, kind: str) -> Column:
     """Each match becomes [KIND_ and 8 hex digits of its SHA-256], where it stands: the parts between matches and the matches, in turn."""
     to = lambda m: F.concat(F.lit(f"[{kind}_"), F.substring(F.sha2(m.cast("binary"), 256), 1, 8), F.lit("]"))
-    parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(p, F.coalesce(to(m), F.lit("")))), "")
+    marked = lambda t: F.array_join(F.zip_with(F.split(t, pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(to(m), F.lit("")))), "")
+    return F.get(F.transform(F.array(text), marked), 0)  # bound by the lambda, so that the text, of which there are two uses, is computed once
 
 
 def redact(text: Column, method: str = "mask", custom: list[tuple[str, str]] | None = None) -> Column:
