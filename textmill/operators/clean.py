@@ -8,9 +8,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import ROWS, slices
+
 # The patterns below define cleaning and redaction.
 HTML, URL, EMAIL_TOKEN = r"<[^>]+>", r"https?://\S+|www\.\S+", r"\S+@\S+"
 PII = {
@@ -41,9 +45,12 @@ def _nfkc(x: str | None) -> str | None:
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which Spark has no function for."""
 
-    @F.pandas_udf("string")
-    def of(s: pd.Series) -> pd.Series:
-        return s.map(_nfkc)
+    @F.arrow_udf("string")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in it:
+            for at in slices(len(s)):
+                part = s.slice(at, ROWS)
+                yield part if pc.all(pc.string_is_ascii(part)).as_py() else pa.array([_nfkc(x) for x in part.to_pylist()], pa.string())
 
     return of(text)
 
@@ -51,9 +58,11 @@ def nfkc(text: Column) -> Column:
 def nfkc_all(texts: Column) -> Column:
     """The same of an array of texts."""
 
-    @F.pandas_udf("array<string>")
-    def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda xs: None if xs is None else [_nfkc(x) for x in xs])
+    @F.arrow_udf("array<string>")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in it:
+            for at in slices(len(s)):
+                yield pa.array([None if xs is None else [_nfkc(x) for x in xs] for xs in s.slice(at, ROWS).to_pylist()], pa.list_(pa.string()))
 
     return of(texts)
 
