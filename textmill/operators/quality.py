@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import ROWS, slices
 from textmill.functions.dialect import SPARK, Spark
 from textmill.operators import semantic_quality
 from textmill.operators.semantic_quality import avg_word_length
@@ -68,14 +69,17 @@ def basic_score(text: str | None) -> tuple[float, float]:
 
 
 def basic_quality(text: Column) -> Column:
-    """A struct of repetition_ratio and quality_score, in one Arrow function: the search for a substring has no column form that is as quick."""
+    """A struct of repetition_ratio and quality_score, in one Arrow function: the search for a substring has no column form that is as quick. It stays where it is
+    in the plan: a filter by the score would else be moved before what makes the text and spreads the rows, and the score be computed on either side."""
 
-    @F.pandas_udf("repetition_ratio double, quality_score double")
-    def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("repetition_ratio double, quality_score double")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in it:
-            yield pd.DataFrame([basic_score(t) for t in s], columns=["repetition_ratio", "quality_score"])
+            for at in slices(len(s)):
+                got = [basic_score(t) for t in s.slice(at, ROWS).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([x[i] for x in got], pa.float64()) for i in (0, 1)], ["repetition_ratio", "quality_score"])
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -112,10 +116,11 @@ def detect_language(text: Column, chars: int | None = None) -> Column:
 def filter_chunks(df: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Of the array column chunks those whose text scores at least ``threshold``."""
 
-    @F.pandas_udf("array<double>")
-    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in it:
-            yield s.map(lambda xs: None if xs is None else [basic_score(x)[1] for x in xs])
+            for at in slices(len(s)):
+                yield pa.array([None if xs is None else [basic_score(x)[1] for x in xs] for xs in s.slice(at, ROWS).to_pylist()], pa.list_(pa.float64()))
 
     scored = df.withColumn("_q", of(F.transform("chunks", lambda c: c["text"])))
     return scored.withColumn("chunks", F.filter("chunks", lambda c, i: F.get("_q", i) >= threshold)).drop("_q")
