@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import map_slices
 from textmill.functions.dialect import Spark
 from textmill.operators.chunking import KINDS
 
@@ -208,14 +209,14 @@ def chunk_text(text: str | None, embed: Callable[[list[str]], np.ndarray], cfg:
 def semantic_chunks(df: DataFrame, embed: Callable[[list[str]], np.ndarray], cfg: Config = Config(), key: str = "doc_id") -> DataFrame:
     """``key``, chunk_ix and the fields of ``SCHEMA``, a row for each chunk of ``df`` (key, text). A text without sentences has none; one sentence is one chunk."""
 
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["key", "chunk_ix", *re.findall(r"(?:^|, )(\w+) ", re.sub(r"<[^ ]*>", "", SCHEMA))]
-        for p in it:
-            rows = [(k, i, *c.values()) for k, t in zip(p["key"], p["text"]) for i, c in enumerate(chunk_text(t, embed, cfg))]
-            yield pd.DataFrame(rows, columns=cols)
+    cols = ["key", "chunk_ix", *re.findall(r"(?:^|, )(\w+) ", re.sub(r"<[^ ]*>", "", SCHEMA))]
+
+    def of(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = [(k, i, *c.values()) for k, t in zip(p["key"], p["text"]) for i, c in enumerate(chunk_text(t, embed, cfg))]
+        yield pd.DataFrame(rows, columns=cols)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), "text").mapInPandas(of, f"key {kind}, chunk_ix int, {SCHEMA}").withColumnRenamed("key", key)
+    return map_slices(df.select(F.col(key).alias("key"), "text"), of, f"key {kind}, chunk_ix int, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def document_coherence(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
