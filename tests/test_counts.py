@@ -65,7 +65,7 @@ def test_automaton_takes_what_it_can_count():
     assert counts.automaton(r"\b(?:is|are)\b", True) == r"\b(?:is|are)\b"
     assert counts.automaton(r"\b(?:a|b)\s+(?:at|in)", True) == r"(?:\b(?:a|b)\s+(?:at|in))\w*"
     assert counts.automaton(r"[;:]", True) == r"[;:]" and counts.automaton(r"\b(?:percent|%)\b", False) == r"\b(?:percent|%)\b"
-    for p in (r"\b(?:percent|%)\b", r"is\b", r"(?<=a)b", r"\ba0\b", r"x_y", r"[^a]", r"(a)\1", r"é", r"\Bfoo", r"a*", r"^a"):
+    for p in (r"\b(?:percent|%)\b", r"is\b", r"(?<=a)b", r"\ba0\b", r"x_y", r"[^a]", r"(a)\1", r"é", r"\Bfoo", r"a*", r"^a", r"(?i)ab"):
         assert counts.automaton(p, True) is None
 
 
@@ -75,3 +75,15 @@ def test_patterns_leave_the_plan(spark):
     plan = evaluate(prepare(df), {**adversarial.bias(SPARK), **adversarial.contradictions(SPARK)} | {"bias_score": "0"})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_count") == 0 and plan.count("RLIKE") == 0
     assert evaluate(prepare(df), adversarial.contradictions(SPARK)).first()["contradictions"] == 1
+
+
+def test_indicators_are_those_of_python(spark):
+    import re
+
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice(WORDS) + rng.choice(ODD) for _ in range(rng.randrange(80)))) for i in range(450)] + [(None, "kill all the old people"), (451, None)]
+    kinds = {"a": (1, [r"\b(?:old|disabled)\s+(?:people|person)\b", r"\b\w+ology\b", r"\b\d{4}\b", r"(?i)NASA|is"]), **adversarial.HARM}
+    want = [(d, k, m.group(), m.start(), m.end()) for d, t in rows for k, (_, ps) in kinds.items() for p in ps for m in re.finditer(p, (t or "").lower())]
+    got = [tuple(r)[:5] for r in adversarial.indicators(spark.createDataFrame(rows, "doc_id long, text string"), kinds).collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 300

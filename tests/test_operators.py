@@ -309,3 +309,31 @@ def test_hash_uses_the_text_once(spark):
     df = spark.createDataFrame([("a.b@c.org, 555-123-4567, 123-45-6789",), (None,)], "text string").select(clean.redact(F.col("text"), "hash").alias("t"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("@[A-Za-z0-9.-]+") <= 2
     assert [r["t"].count("[") for r in df.collect()] == [3, 0]
+
+
+@pytest.mark.parametrize("name", ["clean", "quality", "chunks", "opposites", "indicators"])
+def test_python_holds_slices_of_batches(spark, monkeypatch, name):
+    # before, all rows of an Arrow batch were Python objects at once
+    import inspect
+
+    from textmill.operators import adversarial, semantic_chunks
+
+    f = {"clean": clean.nfkc, "quality": quality.basic_quality, "chunks": semantic_chunks.semantic_chunks, "opposites": adversarial.opposed_pairs, "indicators": adversarial.indicators}[name]
+    assert "slices(" in inspect.getsource(f) and "mapInPandas" not in inspect.getsource(f) and "pandas_udf" not in inspect.getsource(f)
+    df = spark.createDataFrame([(i, f"Text ｎumber {i} is true. It is not true; all of it is false." * (i % 3)) for i in range(450)] + [(450, None)], "doc_id long, text string").repartition(1)
+    if name == "clean":
+        assert sorted(r[0] for r in df.select(clean.clean(F.col("text"))).collect()) == sorted(" ".join(((f"Text number {i} is true. It is not true; all of it is false." * (i % 3)) if i < 450 else "").split()) for i in range(451))
+    elif name == "quality":
+        assert {r["doc_id"]: (r["repetition_ratio"], r["quality_score"]) for r in quality.score(df).collect()} == {r["doc_id"]: quality.basic_score(r["text"]) for r in df.collect()}
+    elif name == "opposites":
+        assert adversarial.opposed_pairs(df).groupBy("doc_id").count().count() == 300
+    elif name == "chunks":
+        assert semantic_chunks.semantic_chunks(df, semantic_chunks.hashed_words()).groupBy("doc_id").count().count() == 300
+
+
+def test_quality_filter_scores_once(spark, tmp_path):
+    # the filter was moved before the cleaning and the spreading, and the score computed on either side
+    spark.createDataFrame([(i, "word " * 30) for i in range(8)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    d = quality.quality_filter(clean.clean_documents(spark.read.parquet(str(tmp_path / "t")).repartition(4), clean.CleanConfig(fix_unicode=False)), 0.5).select("doc_id", clean.redact(F.col("text")).alias("text"), "quality_score")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition")

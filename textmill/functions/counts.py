@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from re import _constants as K
 from re import _parser
 
@@ -48,6 +49,22 @@ def table(spark: SparkSession) -> bytes:
     return _TABLES[0]
 
 
+@cache
+def python_table() -> np.ndarray:
+    """The same for what Python's own regular expressions hold for words, digits and spaces."""
+    out = np.full(0x110000, ord("~"), dtype=np.uint8)
+    out[:128] = np.arange(128)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isspace() and x not in "\n ":
+            out[c] = ord("\t")
+        elif c > 127 and x.isdecimal():
+            out[c] = ord("0")
+        elif c > 127 and x.isalnum():
+            out[c] = ord("_")
+    return out
+
+
 def _items(parsed: object) -> Iterator[tuple]:
     """All nodes of a parsed pattern."""
     for op, arg in parsed:
@@ -109,6 +126,8 @@ def automaton(pattern: str, counted: bool) -> str | None:
         parsed = _parser.parse(pattern)
     except re.error:
         return None
+    if parsed.state.flags & ~re.UNICODE:
+        return None
     for op, arg in _items(parsed):
         if op not in _ALLOWED or (op is K.AT and arg is not K.AT_BOUNDARY) or (op is K.SUBPATTERN and (arg[1] or arg[2])):
             return None

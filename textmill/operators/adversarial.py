@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import map_slices
+from textmill.functions.counts import Texts, automaton, python_table
 from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 from textmill.operators.semantic_quality import clamp, hits, per
 
@@ -140,46 +143,60 @@ def shares(d: Spark) -> dict[str, str]:
 
 def indicators(df: DataFrame, kinds: dict[str, tuple] | None = None, around: int = 50) -> DataFrame:
     """doc_id, kind, match, start, end and context, a row for each match of the patterns (by kind: (weight, patterns); those of bias and harm) in the lower-cased
-    texts of ``df`` (doc_id, text), with ``around`` characters on either side. Spark's functions give no places of matches, so this runs in Arrow batches."""
-    patterns = [(kind, re.compile(p)) for kind, (_, ps) in (kinds or {**BIAS, **HARM}).items() for p in ps]
+    texts of ``df`` (doc_id, text), with ``around`` characters on either side. Spark's functions give no places of matches, so this runs in Arrow batches; automata
+    tell first which texts have a match."""
+    patterns = [(kind, re.compile(p), automaton(p, False)) for kind, (_, ps) in (kinds or {**BIAS, **HARM}).items() for p in ps]
 
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            rows = []
-            for d, text in zip(p["doc_id"], p["text"]):
-                low = (text or "").lower()
-                for kind, pattern in patterns:
-                    rows += [(d, kind, m.group(), m.start(), m.end(), text[max(m.start() - around, 0) : m.end() + around]) for m in pattern.finditer(low)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "match", "start", "end", "context"])
+    def of(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = []
+        texts = [text or "" for text in p["text"]]
+        lows = [text.lower() for text in texts]
+        plain = Texts(pa.array(lows, pa.string()), python_table())
+        for kind, pattern, quick in patterns:
+            for i in range(len(lows)) if quick is None else np.flatnonzero(plain.measure("has", quick)):
+                rows += [(i, kind, m.group(), m.start(), m.end(), texts[i][max(m.start() - around, 0) : m.end() + around]) for m in pattern.finditer(lows[i])]
+        out = pd.DataFrame(rows, columns=["doc_id", "kind", "match", "start", "end", "context"])
+        out["doc_id"] = p["doc_id"].to_numpy()[out["doc_id"].to_numpy(dtype=np.int64)]
+        yield out
 
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id long, kind string, match string, start int, end int, context string")
+    return map_slices(df.select("doc_id", "text"), of, "doc_id long, kind string, match string, start int, end int, context string")
 
 
 def opposed_pairs(df: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, least: int = 15, below: float = 0.5) -> DataFrame:
     """doc_id, first, second and similarity: pairs of a text's sentences (of more than ``least`` characters) of which one has a word and the other its opposite;
     with ``embed`` only those whose vectors have a cosine under ``below``. Sentences are indexed by the words that they have, and only such pairs are made."""
 
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            rows = []
-            for d, text in zip(p["doc_id"], p["text"]):
-                s = [x for part in re.split(r"[.!?]+", text or "") if len(x := part.strip()) > least]
-                low = [x.lower() for x in s]
-                pairs = set()
-                for a, b in OPPOSITES:
-                    with_a, with_b = ([i for i, x in enumerate(low) if w in x] for w in (a, b))
-                    pairs |= {(min(i, j), max(i, j)) for i in with_a for j in with_b if i != j}
-                if not pairs:
-                    continue
-                if embed is None:
-                    rows += [(d, i, j, None) for i, j in sorted(pairs)]
-                    continue
-                v = np.asarray(embed(s), dtype=float)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                rows += [(d, i, j, c) for i, j in sorted(pairs) if (c := float(v[i] @ v[j])) < below]
-            yield pd.DataFrame(rows, columns=["doc_id", "first", "second", "similarity"])
-
-    return df.select("doc_id", "text").mapInPandas(of, "doc_id long, first int, second int, similarity double")
+    def unit(v: np.ndarray) -> np.ndarray:
+        v = np.asarray(v, dtype=float)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def of(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for d, text in zip(p["doc_id"], p["text"]):
+            s = [x for part in re.split(r"[.!?]+", text or "") if len(x := part.strip()) > least]
+            low = [x.lower() for x in s]
+            found = [np.zeros(0, dtype=np.int64)]
+            for a, b in OPPOSITES:
+                with_a, with_b = (np.array([i for i, x in enumerate(low) if w in x], dtype=np.int64) for w in (a, b))
+                first, second = np.minimum.outer(with_a, with_b).ravel(), np.maximum.outer(with_a, with_b).ravel()
+                found.append((first * len(s) + second)[first != second])
+            pairs = np.unique(np.concatenate(found))
+            v = unit(embed(s)) if embed is not None and len(pairs) else None
+            for at in range(0, len(pairs), 100_000):
+                first, second = pairs[at : at + 100_000] // len(s), pairs[at : at + 100_000] % len(s)
+                out = pd.DataFrame({"doc_id": [d] * len(first), "first": first, "second": second, "similarity": None})
+                if v is not None:
+                    out["similarity"] = [float(v[i] @ v[j]) for i, j in zip(first, second)]
+                    out = out[out["similarity"] < below]
+                rows.append(out)
+                size += len(out)
+                if size > 100_000:
+                    yield pd.concat(rows)
+                    rows, size = [], 0
+        if size:
+            yield pd.concat(rows)
+
+    return map_slices(df.select("doc_id", "text"), of, "doc_id long, first int, second int, similarity double")
 
 
 def classify_windows(df: DataFrame, classify: Callable[[list[str]], list[float]], size: int = 500, step: int = 400, most: int | None = None) -> DataFrame:
