@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.functions.dialect import prepare
 from textmill.operators import adversarial, chunking, knowledge, metacognition, semantic_chunks, stats
 from textmill.plans.builder import DatasetBuilder
 from textmill.sources import sinks
@@ -172,3 +173,12 @@ def test_streams(spark, tmp_path):
     counts = run(lambda d: stream.windowed_counts(d, "ts", "kind"), "counted_rows", "complete")
     assert sorted((r["kind"], r["n"]) for r in counts) == [("a", 2), ("b", 1)]
     assert re.match("2024-01-01 00:00", str(min(r["window"]["start"] for r in counts)))
+
+
+def test_facts_are_measured_once(spark):
+    # each cue was a regular expression of the plan, once for the filter and once for the column
+    df = prepare(spark.createDataFrame([(1, "According to research the river is 1200 miles long. I think it is not. Short.")], "doc_id long, text string"))
+    out = knowledge.facts(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 0 and plan.count("ArrowEvalPython") == 1
+    assert [(r["statement"], round(r["confidence"], 6), r["fact_type"]) for r in out.collect()] == [("According to research the river is 1200 miles long", 0.9, "empirical")]

@@ -274,6 +274,10 @@ class Texts:
         raise ValueError(f"unknown measure {what}")
 
 
+#: Bytes of text, on average, of a slice.
+SLICE = 1 << 20
+
+
 def counts(spark: SparkSession, texts: list[Column], jobs: list[tuple[int, str, tuple[str, ...]]]) -> Column:
     """An array of the results of ``jobs``: (number of the text, measure of ``Texts``, patterns of ``automaton`` or words)."""
     packed = table(spark)
@@ -288,9 +292,10 @@ def counts(spark: SparkSession, texts: list[Column], jobs: list[tuple[int, str,
         to = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
         for batch in it:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            for at in range(0, len(columns[0]), 200):  # what is made of a text is held for a slice only
-                yield one([Texts(pc.fill_null(c.slice(at, 200), ""), to) for c in columns])
+            rows = max(min(len(columns[0]) * SLICE // max(columns[0].nbytes, 1), 20_000), 1)
+            for at in range(0, len(columns[0]), rows):  # what is made of a text is held for a slice only
+                yield one([Texts(pc.fill_null(c.slice(at, rows), ""), to) for c in columns])
             if not len(columns[0]):
                 yield pa.array([], pa.list_(pa.int64()))
 
-    return of(*texts)
+    return of.asNondeterministic()(*texts)  # so that it stays in its place, once, where a filter uses what is made of it

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.dialect import SPARK, Spark, doubles, prepare
+from textmill.functions.dialect import SPARK, Spark, evaluate, prepare
 
 # The patterns and words below define what is extracted.
 CONCEPTS = [r"\b[A-Z]{2,}\b", r"\b\w+-\w+(?:-\w+)*\b", r"\b\w+(?:ology|ometry|ics|tion|sion)\b"]
@@ -38,9 +38,9 @@ def fact_type(d: Spark, x: str) -> str:
 
 def facts(prepared: DataFrame) -> DataFrame:
     """doc_id, statement, confidence and type of each sentence of 20 characters or more with a confidence over 0.5."""
-    s = prepared.select("doc_id", F.explode("_s").alias("statement")).filter("length(statement) >= 20").withColumn("_x", F.lower("statement"))
-    s = s.withColumn("confidence", F.expr(doubles(fact_confidence(SPARK, "_x")))).filter("confidence > 0.5")
-    return s.select("doc_id", "statement", "confidence", F.expr(fact_type(SPARK, "_x")).alias("fact_type"))
+    s = prepared.select("doc_id", F.explode("_s").alias("statement")).filter("length(statement) >= 20").withColumn("_l", F.lower("statement"))
+    s = evaluate(s, {"confidence": fact_confidence(SPARK, "_l"), "fact_type": fact_type(SPARK, "_l")})
+    return s.filter("confidence > 0.5").select("doc_id", "statement", "confidence", "fact_type")
 
 
 #: What labels mean, and the parts of a name that tell a property (label, property, parts; of one label the first that is met).
@@ -96,9 +96,9 @@ def analyse_entities(found: DataFrame) -> DataFrame:
 def cooccurrence(prepared: DataFrame, found: DataFrame, predicate: str = "co_occurs_with", confidence: float = 0.3) -> DataFrame:
     """doc_id, sentence_ix, subject, predicate, object and confidence: pairs of a document's entities (earlier first) whose texts one of its sentences holds, a row
     for each sentence. A sentence's entities are gathered before they are paired."""
-    s = prepared.select("doc_id", F.posexplode("_p").alias("sentence_ix", "sentence"))
-    own = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", "entity"))).alias("es"))
-    at = s.join(own, "doc_id").select("doc_id", "sentence_ix", F.filter("es", lambda e: F.contains(F.col("sentence"), e["entity"])).alias("es")).filter("size(es) > 1")
+    own = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", "entity"))).alias("es")).filter("size(es) > 1")
+    s = prepared.select("doc_id", "_p").join(own, "doc_id").select("doc_id", "es", F.posexplode("_p").alias("sentence_ix", "sentence"))  # documents are joined, not sentences
+    at = s.select("doc_id", "sentence_ix", F.filter("es", lambda e: F.contains(F.col("sentence"), e["entity"])).alias("es")).filter("size(es) > 1")
     pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a["entity"].alias("subject"), b["entity"].alias("object")))))
     out = at.select("doc_id", "sentence_ix", F.explode(pairs).alias("r"))
     return out.select("doc_id", "sentence_ix", "r.subject", F.lit(predicate).alias("predicate"), "r.object", F.lit(confidence).alias("confidence"))
